@@ -6,7 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import common, packing, pii, quality_rules, token_files, token_rollups
+
+
+#: Files of public tokenizers by version; operators take their paths as parameters.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     bits = F.col("fail_bits")
@@ -28,6 +42,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each delivered twice: all documents under two tokenizer versions, a revision
+    that adds the end token to each count of the first version, and the second version's retirement
+    and return in one batch. The totals are those of the documents as they then stand."""
+    docs = _table(spark, sf_dir, "documents")
+    first = common.settle(token_rollups.counted(docs, {v: tokenizer_path(v) for v in (WORD_BPE, BYTE_BPE)}), "counts")
+    book = token_rollups.Rollups(spark, common.scratch(spark, "rollups"))
+    words, pieces = (first.where(F.col("tokenizer") == v) for v in (WORD_BPE, BYTE_BPE))
+    revised = words.select(*token_rollups.KEYS, F.col("tokens").alias("tokens_before"), (F.col("tokens") + 1).alias("tokens_after"))
+    again = token_rollups.deletes(pieces).unionByName(token_rollups.inserts(pieces.withColumn("tokenizer", F.concat("tokenizer", F.lit("+end"))).withColumn("tokens", F.col("tokens") + 1)))
+    for batch, changes in (("load", token_rollups.inserts(first)), ("revise", revised), ("retire", again)):
+        for _ in range(2):
+            book.commit(batch, changes)
+    return book.totals()
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "tokens")
+    files = token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_BPE))
+    return token_files.read_documents(spark, path, files)
+
+
 #: Counted with plain aggregates over unnested words, windows and lines.
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -54,5 +90,5 @@ b AS (SELECT *,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op7_token_files)}
 ORACLES = {"op4_quality_rules": _OP4}
