@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, pii, quality_rules, token_files, token_rollups
+from . import common, packing, pii, quality_rules, simhash, token_files, token_rollups
 
 
 #: Files of public tokenizers by version; operators take their paths as parameters.
@@ -64,6 +64,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path, files)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.cluster(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: Counted with plain aggregates over unnested words, windows and lines.
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -90,5 +95,5 @@ b AS (SELECT *,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op7_token_files, op9_simhash)}
 ORACLES = {"op4_quality_rules": _OP4}
