@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, pii, quality_rules, simhash, token_files, token_rollups
+from . import common, decontamination, packing, pii, quality_rules, simhash, token_files, token_rollups
 
 
 #: Files of public tokenizers by version; operators take their paths as parameters.
@@ -58,6 +58,10 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.totals()
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "tokens")
     files = token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_BPE))
@@ -95,5 +99,5 @@ b AS (SELECT *,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op7_token_files, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op6_decontamination, op7_token_files, op9_simhash)}
 ORACLES = {"op4_quality_rules": _OP4}
