@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refold.llm import common, pii, quality_rules
+from refold.llm import common, decontamination, packing, pii, quality_rules, simhash
+from refold.llm.queries import WORD_BPE, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +14,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, the one with the smallest doc_id stays."""
+    return simhash.survivors(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind in brackets."""
     return pii.redact(docs)
 
 
-STAGES = [("quality", quality), ("personal_data", personal_data)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents' tokens to sequences of one length."""
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("pack", pack),
+]
 #: Near-duplicates, passages and tokens can't be had in SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 

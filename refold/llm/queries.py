@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, packing, pii, quality_rules, simhash, token_files, token_rollups
+from . import chat, common, decontamination, licenses, packing, pii, quality_rules, simhash, token_files, token_rollups, warc
 
 
 #: Files of public tokenizers by version; operators take their paths as parameters.
@@ -27,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -68,11 +72,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path, files)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "warc")
+    files = warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.records(spark, path, files).drop("file", "offset")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.cluster(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 #: Counted with plain aggregates over unnested words, windows and lines.
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -99,5 +113,33 @@ b AS (SELECT *,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op4_quality_rules, op5_token_rollups, op6_decontamination, op7_token_files, op9_simhash)}
-ORACLES = {"op4_quality_rules": _OP4}
+_OP2 = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(turn, 0) // {chat.TURNS} AS part, turn, coalesce(role, '{chat.UNNAMED}') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role NOT IN ('system')),
+x AS (
+  SELECT t.conv_id, part, participant, role = participant AS own,
+    row_number() OVER (PARTITION BY t.conv_id, part, participant ORDER BY turn NULLS FIRST, role, text) AS k,
+    CASE WHEN role = participant THEN '<|im_start|>assistant' WHEN role IN ('system') THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || role END || chr(10) AS head,
+    text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, participant ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM x)
+SELECT conv_id, part::BIGINT AS part, participant, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+  coalesce(string_agg((pos + length(head))::VARCHAR || ':' || (pos + length(head) + length(body) - 1)::VARCHAR, ',' ORDER BY k) FILTER (own), '') AS loss_spans
+FROM y GROUP BY conv_id, part, participant
+"""
+
+#: The same archive facts from digests alone.
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, upper(sha1(html)) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS canon FROM p),
+b AS (SELECT *, unhex(h) AS raw FROM g),
+d AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0x' || substr(h, 10 * k + 1, 10))::BIGINT // (32 ** (7 - j))::BIGINT % 32 + 1, 1), '' ORDER BY k, j)
+  FROM range(4) a(k), range(8) c(j)) AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = canon THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> canon THEN canon END AS refers_to FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_packing, op4_quality_rules, op5_token_rollups, op6_decontamination, op7_token_files, op8_warc, op9_simhash, op10_licenses)}
+ORACLES = {"op2_chat": _OP2, "op8_warc": _OP8, "op4_quality_rules": _OP4}
