@@ -21,25 +21,52 @@ MEMO = 600_000
 #: Bytes of text worked on at a time.
 SLICE = 4 << 20
 #: Two characters in a row that any engine may take for white space.
-_STOPS = frozenset(".,")
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
 
 
 class _Memo(dict):
-    """Piece -> its ids as little-endian uint32 bytes."""
+    """Piece -> its ids as little-endian uint32 bytes. lead: the blank that goes before each piece."""
 
-    def __init__(self, encode, prefix: str = ""):
-        self.encode, self.prefix = encode, prefix
+    def __init__(self, tok, lead: str, gap: str):
+        self.tok, self.lead, self.gap = tok, lead, gap
+        self.stops = {c: self._one(c) for c in ".,"}
 
-    def __missing__(self, piece: str) -> bytes:
+    def of(self, pieces: list[str]) -> list[bytes]:
         if len(self) >= MEMO:
             self.clear()
-        if piece[-1:] in _STOPS and unicodedata.normalize("NFC", piece[:-1]).lower().isalpha():  # letters and what follows them are split before any merge
-            ids = self[piece[:-1]] + np.asarray(self.encode(piece[-1]), "<u4").tobytes()
-        else:
-            ids = np.asarray(self.encode(self.prefix + piece), "<u4").tobytes()
-        self[piece] = ids
-        return ids
+        new = [p for p in pieces if p not in self]
+        if new:
+            # letters and what follows them are split before any merge
+            stems = dict.fromkeys(p[:-1] if p[-1:] in self.stops and p[:-1].isalpha() else p for p in new)
+            self._joined([s for s in stems if s.isalpha() and s not in self])
+            for s in stems:
+                if s not in self:
+                    self[s] = self._one(self.lead + s)
+            for p in new:
+                if p not in self:
+                    s = p[:-1]
+                    whole = s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()
+                    self[p] = self[s] + self.stops[p[-1]] if whole else self._one(self.lead + p)
+        return list(map(self.__getitem__, pieces))
+
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """Many words of letters in one call; each is one part of the split, and so is a gap that the
+        vocabulary keeps and that is not taken into the next word."""
+        step = 2 if self.gap == "\n" else 1
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            coded = self.tok.encode(self.lead + self.gap.join(some), add_special_tokens=False)
+            part = np.array(coded.word_ids, np.int64)
+            if not len(part) or part[-1] != step * (len(some) - 1):
+                continue  # a word that normalization splits: one by one
+            edge = np.searchsorted(part, step * np.arange(len(some)))
+            stop = np.searchsorted(part, step * np.arange(len(some)), "right")
+            data = np.asarray(coded.ids, "<u4").tobytes()
+            for w, x, y in zip(some, (4 * edge).tolist(), (4 * stop).tolist(), strict=True):
+                self[w] = data[x:y]
 
 
 class Encoder:
@@ -51,9 +78,10 @@ class Encoder:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        self.encode = lambda piece: tok.encode(piece, add_special_tokens=False).ids
-        self.keeps_blanks = bool(self.encode(" "))
-        self.plain, self.spaced = _Memo(self.encode), _Memo(self.encode, " ")
+        self.top = tok.get_vocab_size() - 1
+        self.keeps_blanks = bool(tok.encode(" ", add_special_tokens=False).ids)
+        self.plain, self.spaced = _Memo(tok, "", "\n" if self.keeps_blanks else " "), _Memo(tok, " ", " ")
+        self.newline = self.plain._one("\n")
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets: text k has ids[offsets[k]:offsets[k + 1]]). Nulls are empty."""
@@ -73,12 +101,15 @@ class Encoder:
         coded = pieces.flatten().dictionary_encode()
         place, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
         if self.keeps_blanks:
-            known = [self.plain[w] if w[:1] == "\n" else self.spaced[w] for w in words]
+            # with no runs of white space, a line feed is a part of its own before a visible character
+            lines = iter(self.plain.of([w[1:] for w in words if w[:1] == "\n"]))
+            spaced = iter(self.spaced.of([w for w in words if w[:1] != "\n"]))
+            known = [self.newline + next(lines) if w[:1] == "\n" else next(spaced) for w in words]
             heads = coded.dictionary.take(pa.array(place[first])).to_pylist()
             place[first] = len(known) + np.arange(len(first))
-            known += [np.asarray(self.encode(texts[k].as_py()), "<u4").tobytes() if alone[k] else self.plain[heads[k]] for k in range(len(first))]
+            known += [self.plain._one(texts[k].as_py()) if alone[k] else own for k, own in enumerate(self.plain.of(heads))]
         else:
-            known = [self.plain[w] for w in words]
+            known = self.plain.of(words)
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         table, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
         n = size[place]
