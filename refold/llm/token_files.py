@@ -1,9 +1,9 @@
 """Token ids in Arrow stream files with fixed-size-list batches.
 
 A set of files holds the corpus in the order of doc_id. Each file has record batches of `rows`
-sequences of `length` ids: `ids` fixed_size_list<uint32>[length] and `mask` fixed_size_list<uint8>
-[length], 1 where an id counts. A file's ids are one run without gaps; only its last sequence is
-filled up, under mask 0. All values lie in one buffer per column, so sequence k of a file is a slice
+sequences of `length` ids: `ids` fixed_size_list<uint16 or uint32>[length], the narrower if all ids of
+the vocabulary fit, and `mask` fixed_size_list<bool>[length], true where an id counts. A file's ids are one run without gaps; only its last sequence is
+filled up, under mask false. All values lie in one buffer per column, so sequence k of a file is a slice
 of batch k // rows: a reader that maps the file copies nothing. A second file beside it lists its
 documents (doc_id, start in the file, n_tokens).
 
@@ -35,15 +35,15 @@ FILES = "part int, n_docs long, n_tokens long, n_sequences long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, width: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Writer:
     """Gathers ids and writes full batches of one file."""
 
-    def __init__(self, sink, length: int, rows: int):
-        self.schema, self.length, self.size = _schema(length), length, length * rows
+    def __init__(self, sink, length: int, rows: int, width: np.dtype):
+        self.schema, self.length, self.size, self.width = _schema(length, width), length, length * rows, width
         self.out, self.held, self.n, self.total = pa.ipc.new_stream(sink, self.schema), [], 0, 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -54,17 +54,17 @@ class _Writer:
             flat = np.concatenate(self.held)
             whole = len(flat) // self.size * self.size
             for at in range(0, whole, self.size):
-                self._batch(flat[at : at + self.size], np.ones(self.size, np.uint8))
+                self._batch(flat[at : at + self.size], np.ones(self.size, bool))
             self.held, self.n = [flat[whole:]], len(flat) - whole
 
     def close(self) -> None:
         if self.n:
             flat, room = np.concatenate(self.held), -self.n % self.length
-            self._batch(np.pad(flat, (0, room)), np.pad(np.ones(self.n, np.uint8), (0, room)))
+            self._batch(np.pad(flat, (0, room)), np.pad(np.ones(self.n, bool), (0, room)))
         self.out.close()
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(np.uint32, copy=False), mask)]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(self.width, copy=False), mask)]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
 
 
@@ -74,7 +74,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, leng
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, at, index = TaskContext.get().partitionId(), encoder(tokenizer_path), 0, []
         with replacing(path, f"part-{part:06d}.arrow") as sink:
-            out = _Writer(sink, length, rows)
+            out = _Writer(sink, length, rows, np.dtype(np.uint16 if max(enc.top, end_id) < 1 << 16 else np.uint32))
             for b in slices(batches, "text"):
                 ids, edge = enc.column(b.column("text"))
                 ids, n = np.insert(ids, edge[1:], end_id), np.diff(edge) + 1
@@ -99,14 +99,15 @@ def batches_of(path: str, part: int) -> list[pa.RecordBatch]:
 
 
 def sequence(batches: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of sequence k of a file, without a copy."""
+    """(ids, mask) of sequence k of a file; the ids are a view of it, not a copy."""
     rows = batches[0].num_rows
-    return tuple(c.slice(k % rows, 1).flatten().to_numpy() for c in batches[k // rows].columns)
+    ids, mask = (c.slice(k % rows, 1).flatten() for c in batches[k // rows].columns)
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def read_documents(spark, path: str, files: list) -> DataFrame:
     """doc_id, start in the whole set, n_tokens, and the crc32 of the ids, read from the files. Ids
-    under mask 0 never count."""
+    under mask false never count."""
     before, rows = 0, []
     for f in files:
         if f.n_docs:
@@ -131,7 +132,7 @@ def _documents(path: str, part: int, base: int) -> Iterator[pa.RecordBatch]:
         for k, (s, size) in enumerate(zip(start.tolist(), n.tolist(), strict=True)):
             while at + len(held) < s + size:
                 b = next(source)
-                ids, mask = (c.flatten().to_numpy() for c in b.columns)
-                held, at = np.concatenate([held[max(0, s - at) :], ids[mask == 1]]), max(s, at)
+                ids, mask = (c.flatten().to_numpy(zero_copy_only=False) for c in b.columns)
+                held, at = np.concatenate([held[max(0, s - at) :], ids[mask].astype(np.uint32)]), max(s, at)
             crc[k] = zlib.crc32(held[s - at : s - at + size].tobytes())
         yield pa.record_batch([docs.column("doc_id"), pa.array(start + base), docs.column("n_tokens"), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
