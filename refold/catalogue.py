@@ -447,9 +447,9 @@ def _paired(read) -> DataFrame:
 _PAIRS = "WITH p AS (SELECT a.o_custkey, a.v AS control, b.v AS candidate, b.v / a.v AS ratio FROM (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) a JOIN (SELECT o_custkey, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) b USING (o_custkey)) "
 
 
-@query(_PAIRS + "SELECT o_custkey, round(control, 4) + 0.0 AS control, round(candidate, 4) + 0.0 AS candidate, round(ratio, 6) + 0.0 AS ratio FROM p")
+@query(_PAIRS + "SELECT o_custkey, round(control, 7) + 0.0 AS control, round(candidate, 7) + 0.0 AS candidate, round(ratio, 6) + 0.0 AS ratio FROM p")
 def paired_ratio(spark, read):
-    return _paired(read).withColumns({"control": _r("control", 4), "candidate": _r("candidate", 4), "ratio": _r("ratio")})
+    return _paired(read).withColumns({"control": _r("control", 7), "candidate": _r("candidate", 7), "ratio": _r("ratio")})
 
 
 @query(_PAIRS + "SELECT c_mktsegment, count(*) AS n, round(median(ratio), 6) + 0.0 AS median_of_ratios, round(median(candidate) / median(control), 6) + 0.0 AS ratio_of_medians, median(ratio) <= 1.0 AS passed FROM p JOIN customer ON o_custkey = c_custkey GROUP BY ALL")

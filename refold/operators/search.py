@@ -114,3 +114,52 @@ def measures(y: np.ndarray, again: np.ndarray, threshold: float, mode: str) -> l
         psnr = np.where(mse > 0, -10 * np.log10(mse), np.nan)
     counts = over if mode == "keep_over" else ~over
     return [d.max(0).astype(np.float64), d.mean(0, dtype=np.float64), mse, np.sqrt(mse), psnr, np.where(counts, d, 0).mean(0, dtype=np.float64), over.mean(0)]
+
+
+def plane_search(spark: SparkSession, clip, kernels: list[Kernel], sizes: list[float], tasks: int, threshold: float = 0.015, mode: str = "keep_under", edge: int = 5, border: str = "symmetric", vertical_only: bool = False) -> DataFrame:
+    """Measures of every candidate on the frames of a clip: frame_no, plane, idx, scaler, family, size,
+    MEASURES. Candidates are dealt over tasks and each meets every frame, so a task plans only its own
+    candidates; frames cross to the tasks once each, as rows."""
+    width, height = clip.width, clip.height
+    labels = [(k, float(s)) for k in kernels for s in sizes]
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for frame_no, plane, part, samples in zip(*(b.column(c).to_pylist() if c != "samples" else b.column(c) for c in ("frame_no", "plane", "part", "samples")), strict=True):
+                y = np.array(samples.values.to_numpy(zero_copy_only=False), np.float32).reshape(height, width)
+                rows = []
+                mine = range(part, len(labels), tasks)
+                pairs = [_axes(labels[i], width, height, border, vertical_only) for i in mine]
+                plans = iter(build([r for p in pairs for r in p]))
+                for i, p in zip(mine, pairs, strict=True):
+                    v, h = next(plans), next(plans) if len(p) == 2 else None
+                    again = _again(y, v, h)
+                    inner = (slice(edge, height - edge), slice(edge, width - edge))
+                    m = measures(y[inner].reshape(-1, 1), again[inner].reshape(-1, 1), threshold, mode)
+                    k, size = labels[i]
+                    rows.append((frame_no, plane, i, k.name, k.kind, size, *(None if np.isnan(x[0]) else float(x[0]) for x in m)))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 8), strict=True)], names=["frame_no", "plane", "idx", "scaler", "family", "size", *names])
+
+    dealt = clip.rows.select("frame_no", "plane", "samples", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part")).repartition(tasks, "part")
+    return dealt.mapInArrow(run, f"frame_no int, plane int, idx long, scaler string, family string, size double, {MEASURES}")
+
+
+def _axes(label: tuple, width: int, height: int, border: str, vertical_only: bool) -> list[Request]:
+    kernel, size = label
+    wide = size * width / height
+    out = []
+    for n, active in ((height, size), (width, wide))[: 1 if vertical_only else 2]:
+        whole = n - 2 * int((n - active) / 2)
+        out.append(Request(n, whole, active, (whole - active) / 2, kernel, border, "auto"))
+    return out
+
+
+def _again(y: np.ndarray, v, h) -> np.ndarray:
+    """The plane undone along both axes and made again."""
+    x = solve.inverse(v, y).astype(np.float32)
+    if h is None:
+        return solve.forward(v, x)
+    x = solve.inverse(h, np.ascontiguousarray(x.T)).astype(np.float32)
+    return solve.forward(v, np.ascontiguousarray(solve.forward(h, x).T))

@@ -7,11 +7,11 @@ import numpy as np
 from refold.plans.planner import EPS, Plan
 
 
-def _gather(plan: Plan, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A'y for y (source, lane); source samples in ascending order."""
-    out = weights[:, :1] * y[plan.sources[:, 0]]
+def _gather(index: np.ndarray, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of index the weighted sum of y's rows, in the order of its columns."""
+    out = weights[:, :1] * y[index[:, 0]]
     for k in range(1, weights.shape[1]):
-        out += weights[:, k : k + 1] * y[plan.sources[:, k]]
+        out += weights[:, k : k + 1] * y[index[:, k]]
     return out
 
 
@@ -25,7 +25,7 @@ def inverse(plan: Plan, y: np.ndarray) -> np.ndarray:
 
 def inverse_single(plan: Plan, y: np.ndarray) -> np.ndarray:
     s, hb = plan.single(), plan.half_bandwidth
-    x = _gather(plan, s["weights"], np.asarray(y, np.float32))
+    x = _gather(plan.sources, s["weights"], np.asarray(y, np.float32))
     n, low, up, scale = len(x), s["low"], s["up"], s["inverse"]
     for i in range(n):
         k = min(hb, i)
@@ -43,7 +43,7 @@ def inverse_double(plan: Plan, y: np.ndarray) -> np.ndarray:
     y = np.asarray(y, np.float64)
     if not np.isfinite(y).all():
         raise ValueError("f64 input contains a non-finite sample")
-    x, f, hb = _gather(plan, plan.weights, y), plan.factors, plan.half_bandwidth
+    x, f, hb = _gather(plan.sources, plan.weights, y), plan.factors, plan.half_bandwidth
     n = len(x)
     back = np.zeros((n, hb))
     ahead = np.zeros((n, hb))
@@ -65,12 +65,7 @@ def inverse_double(plan: Plan, y: np.ndarray) -> np.ndarray:
 def forward(plan: Plan, x: np.ndarray) -> np.ndarray:
     """A x: the interpolation itself, from (destination, lane) to (source, lane)."""
     kind = np.float64 if x.dtype == np.float64 else np.float32
-    out = np.zeros((plan.request.source_size, x.shape[1]), kind)
-    for k in range(plan.weights.shape[1]):
-        w = plan.weights[:, k].astype(kind)
-        used = w != 0
-        np.add.at(out, plan.sources[used, k], w[used, None] * x[used])
-    return out
+    return _gather(plan.places, plan.shares.astype(kind), x.astype(kind, copy=False))
 
 
 def inverse_2d(h: Plan | None, v: Plan | None, plane: np.ndarray) -> np.ndarray:

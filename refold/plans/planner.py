@@ -25,12 +25,14 @@ SAFE = 1.0e-4
 @dataclass
 class Plan:
     """sources, weights: for each destination sample the source samples it touches (padded, weight 0),
-    in ascending order. bands: the normal matrix by distance from the diagonal. factors: L below a
+    in ascending order; places, shares: for each source sample the destination samples. bands: the normal matrix by distance from the diagonal. factors: L below a
     unit diagonal, D in row 0."""
 
     request: Request
     sources: np.ndarray
     weights: np.ndarray
+    places: np.ndarray
+    shares: np.ndarray
     bands: np.ndarray
     factors: np.ndarray
     rcond: float
@@ -124,20 +126,22 @@ def _build(group: list[Request]) -> list[Plan]:
     rcond, norm = condition(bands, factors, n)
     out = []
     for k, r in enumerate(group):
-        sources, weights = _by_destination(r, *sparse[k])
+        src, dst, w = sparse[k]
+        views = *_padded(dst, src, w, r.destination_size), *_padded(src, dst, w, r.source_size)
         double = r.mode == "f64" or r.mode == "auto" and rcond[k] < SAFE
-        out.append(Plan(r, sources, weights, each[k], factors[k, :, : n[k]].copy(), float(rcond[k]), float(norm[k]), double))
+        out.append(Plan(r, *views, each[k], factors[k, :, : n[k]].copy(), float(rcond[k]), float(norm[k]), double))
     return out
 
 
-def _by_destination(r: Request, src, dst, w) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(dst, kind="stable")
-    count = np.bincount(dst, minlength=r.destination_size)
-    slot = np.arange(len(dst)) - np.repeat(np.cumsum(count) - count, count)
-    sources = np.zeros((r.destination_size, max(1, int(count.max(initial=0)))), np.int64)
-    weights = np.zeros(sources.shape)
-    sources[dst[order], slot], weights[dst[order], slot] = src[order], w[order]
-    return sources, weights
+def _padded(by: np.ndarray, other: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries as rows 0..n - 1 of equal width: the other index and the weight, 0 where a row is shorter."""
+    order = np.argsort(by, kind="stable")
+    count = np.bincount(by, minlength=n)
+    slot = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+    index = np.zeros((n, max(1, int(count.max(initial=0)))), np.int64)
+    weight = np.zeros(index.shape)
+    index[by[order], slot], weight[by[order], slot] = other[order], w[order]
+    return index, weight
 
 
 def factor(bands: np.ndarray) -> np.ndarray:
