@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,54 +20,57 @@ import pyarrow.compute as pc
 #: Pieces held in a memo; it starts afresh beyond that, which costs time and changes nothing.
 MEMO = 600_000
 #: Bytes of text worked on at a time.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Two characters in a row that any engine may take for white space.
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
 
 
+#: The visible character that byte-level vocabularies write for each byte.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
+#: Words that must come out alike before the model is asked directly.
+_PROBES = ("a", "Hello", "THE", "été", "Straße", "ÜBUNG", "naïve", "internationalization", "ð", "Ĳ", "ǅ")
+
+
 class _Memo(dict):
     """Piece -> its ids as little-endian uint32 bytes. lead: the blank that goes before each piece."""
 
-    def __init__(self, tok, lead: str, gap: str):
-        self.tok, self.lead, self.gap = tok, lead, gap
+    def __init__(self, tok, lead: str):
+        self.tok, self.model, self.lead, self.folds = tok, tok.model, lead, tok.normalizer is not None
+        self.mark = lead.translate(_SHOWN)
         self.stops = {c: self._one(c) for c in ".,"}
+        self.direct = True
+        self.direct = all(self._word(w) == self._one(lead + w) for w in _PROBES)
 
     def of(self, pieces: list[str]) -> list[bytes]:
         if len(self) >= MEMO:
             self.clear()
-        new = [p for p in pieces if p not in self]
-        if new:
-            # letters and what follows them are split before any merge
-            stems = dict.fromkeys(p[:-1] if p[-1:] in self.stops and p[:-1].isalpha() else p for p in new)
-            self._joined([s for s in stems if s.isalpha() and s not in self])
-            for s in stems:
+        for p in pieces:
+            if p in self:
+                continue
+            s = p[:-1]
+            if p[-1:] in self.stops and s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()):
+                # letters and what follows them are split before any merge
                 if s not in self:
-                    self[s] = self._one(self.lead + s)
-            for p in new:
-                if p not in self:
-                    s = p[:-1]
-                    whole = s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()
-                    self[p] = self[s] + self.stops[p[-1]] if whole else self._one(self.lead + p)
+                    self[s] = self._word(s)
+                self[p] = self[s] + self.stops[p[-1]]
+            else:
+                self[p] = self._word(p) if p.isalpha() else self._one(self.lead + p)
         return list(map(self.__getitem__, pieces))
 
     def _one(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _joined(self, words: list[str]) -> None:
-        """Many words of letters in one call; each is one part of the split, and so is a gap that the
-        vocabulary keeps and that is not taken into the next word."""
-        step = 2 if self.gap == "\n" else 1
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            coded = self.tok.encode(self.lead + self.gap.join(some), add_special_tokens=False)
-            part = np.array(coded.word_ids, np.int64)
-            if not len(part) or part[-1] != step * (len(some) - 1):
-                continue  # a word that normalization splits: one by one
-            edge = np.searchsorted(part, step * np.arange(len(some)))
-            stop = np.searchsorted(part, step * np.arange(len(some)), "right")
-            data = np.asarray(coded.ids, "<u4").tobytes()
-            for w, x, y in zip(some, (4 * edge).tolist(), (4 * stop).tolist(), strict=True):
-                self[w] = data[x:y]
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters is one part of the split: the model merges it without the steps before."""
+        plain = word
+        if self.folds:
+            plain = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        if not self.direct or not word.isascii() and (max(plain) > "ɏ" or not plain.isalpha()):
+            return self._one(self.lead + word)
+        if not plain.isascii():
+            plain = plain.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(self.mark + plain)]).tobytes()
 
 
 class Encoder:
@@ -80,7 +84,7 @@ class Encoder:
         tok.encode_special_tokens = True
         self.top = tok.get_vocab_size() - 1
         self.keeps_blanks = bool(tok.encode(" ", add_special_tokens=False).ids)
-        self.plain, self.spaced = _Memo(tok, "", "\n" if self.keeps_blanks else " "), _Memo(tok, " ", " ")
+        self.plain, self.spaced = _Memo(tok, ""), _Memo(tok, " ")
         self.newline = self.plain._one("\n")
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
