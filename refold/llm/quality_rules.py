@@ -107,13 +107,17 @@ def _dropped(text: Column, others: str) -> Column:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_nonletters")
 
 
+def _bits() -> Column:
+    """Bit b is set where rule b fails."""
+    bits = F.lit(0).cast("long")
+    for r in RULES:
+        bits = bits.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(0).cast("long"))
+    return bits
+
+
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, the measurements, and fail_bits (bit b: rule b fails). One row per input row."""
-    bits = None
-    for r in RULES:
-        bit = F.when(r.fails(), F.lit(1 << r.bit)).otherwise(0).cast("long")
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return _measured(docs.select(key, text), text).select(key, *[_m(x).alias(x) for x in MEASURES], bits.alias("fail_bits"))
+    return _measured(docs.select(key, text), text).select(key, *[_m(x).alias(x) for x in MEASURES], _bits().alias("fail_bits"))
 
 
 def passes(fail_bits: Column, policy: str = DEFAULT_POLICY) -> Column:
@@ -123,10 +127,11 @@ def passes(fail_bits: Column, policy: str = DEFAULT_POLICY) -> Column:
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
-    bits = F.lit(0).cast("long")
-    for r in RULES:
-        bits = bits.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(0).cast("long"))
-    return _measured(docs, text).where(passes(bits, policy)).select(*docs.columns)
+    # a column that isn't deterministic holds the filter here: pushed below the projections, it would
+    # copy each measurement's expression into every rule that uses it
+    row = P + "row"
+    rows = _measured(docs, text).withColumns({P + "kept": passes(_bits(), policy), row: F.monotonically_increasing_id()})
+    return rows.where(F.col(P + "kept") & (F.col(row) >= 0)).select(*docs.columns)
 
 
 def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
