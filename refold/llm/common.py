@@ -50,6 +50,13 @@ def settle(df: DataFrame, tag: str, keep_schema: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if keep_schema else spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of `limit` bytes at most, so that a worker holds little of long texts at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate; for file scans the bytes on disk."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

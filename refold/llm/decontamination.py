@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import slices
 
 Q, MIN, BLOCK = 8, 48, 16 << 20
@@ -187,6 +188,7 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row of HITS for each passage of an item in a document."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
+    small_batches(docs.sparkSession)
     for index in blocks(items):
         found = chosen.mapInArrow(_finder(index), HITS)
         out = found if out is None else out.unionByName(found)
@@ -207,6 +209,7 @@ def _finder(index):
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no passage of any item, with their own columns."""
+    small_batches(docs.sparkSession)
     for index in blocks(items):
         docs = docs.mapInArrow(_keeper(index), docs.schema)
     return docs

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 from .tokens import slices
 
 DISTANCE, SHINGLE, SEED = 2, 3, 42
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, fp long")
 
 
@@ -314,4 +315,5 @@ def survivors(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     roots = components(links(least))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
-    return base.join(settle(chosen, "chosen"), mark, "left_semi").select(*docs.columns)
+    # by shuffle at every size: the chosen rows grow with the documents
+    return base.join(settle(chosen, "chosen").hint("merge"), mark, "left_semi").select(*docs.columns)

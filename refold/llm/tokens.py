@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces held in a memo; it starts afresh beyond that, which costs time and changes nothing.
-MEMO = 600_000
+MEMO = 300_000
 #: Bytes of text worked on at a time.
 SLICE = 8 << 20
 #: Two characters in a row that any engine may take for white space.
@@ -103,7 +103,7 @@ class Encoder:
         first = pieces.offsets.to_numpy().astype(np.int64)
         first, last = first[:-1] - first[0], int(first[-1] - first[0])
         coded = pieces.flatten().dictionary_encode()
-        place, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        place, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.to_pylist()
         if self.keeps_blanks:
             # with no runs of white space, a line feed is a part of its own before a visible character
             lines = iter(self.plain.of([w[1:] for w in words if w[:1] == "\n"]))
@@ -118,8 +118,9 @@ class Encoder:
         table, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
         n = size[place]
         upto = np.cumsum(n)
-        ids = table[np.repeat(start[place] - (upto - n), n) + np.arange(upto[-1] if last else 0)]
-        return ids, np.concatenate([[0], upto[np.append(first[1:], last) - 1]])
+        take = np.repeat((start[place] - (upto - n)).astype(np.int32), n)  # a text has under 2**31 ids
+        take += np.arange(len(take), dtype=np.int32)
+        return table[take], np.concatenate([[0], upto[np.append(first[1:], last) - 1]])
 
 
 @functools.lru_cache(4)
