@@ -16,7 +16,7 @@ runs of FAN make the next level up: bits on which a run agrees are its mask and
 are compared on the bits both have fixed; what differs is added to what their parents differed in,
 and the whole pair of groups is pruned once that exceeds DISTANCE.
 
-Links. A node gives only a star for each of its connected parts (at most NODE - 1 links). Components
+Links. A node gives a forest of its near pairs (at most NODE - 1 links), closest first. Components
 of distinct fingerprints are then found by alternating large-star and small-star steps on tables in
 the shared folder, and each document gets the smallest doc_id of its component.
 
@@ -27,6 +27,7 @@ doc_id of their component, null if it has none; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,33 +106,33 @@ _BELOW = {m: _parts(m) for level in [[0], *_levels()] for m in level if 64 - m.b
 
 
 def _descend(rows: DataFrame) -> DataFrame:
-    """Rows (fp, mask) to their nodes one level down (fp, mask, bits)."""
+    """Rows (kind, fp, mask) to their nodes one level down (kind, fp, mask, bits)."""
     table = F.create_map(*[x for m, ns in _BELOW.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(n)) for n in ns]))])
-    down = rows.select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
+    down = rows.select("kind", "fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
     return down.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct fingerprints `fp`: in every node a star for each connected part, so
-    that the links' components are those of all pairs within DISTANCE."""
-    level, found = fps.select("fp", F.lit(0).cast("long").alias("mask")), []
+    """Links (kind, a, b) among the distinct fingerprints (kind, fp) of each kind, each within DISTANCE: in
+    every node a forest, so that the links' components are those of all pairs within DISTANCE."""
+    level, found = fps.select("kind", "fp", F.lit(0).cast("long").alias("mask")), []
     for _ in _levels():
         rows = _descend(level)
         total = rows.count()
         if not total:
             break
-        outsized = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(NODE, total // SHARE)).collect()
+        outsized = rows.groupBy("kind", "mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(NODE, total // SHARE)).collect()
         big = F.lit(False)
         if outsized:  # at most SHARE nodes
-            keys = F.array(*[F.struct(F.lit(r.mask).alias("mask"), F.lit(r.bits).alias("bits")) for r in outsized])
-            big = F.array_contains(keys, F.struct("mask", "bits"))
-        dealt = rows.where(~big).repartition(F.col("mask"), F.col("bits")).sortWithinPartitions("mask", "bits")
-        out = settle(dealt.mapInArrow(_search, "a long, b long, mask long"), "links")
-        found.append(out.where(F.col("mask").isNull()).select("a", "b"))
-        level = out.where(F.col("mask").isNotNull()).select(F.col("a").alias("fp"), "mask")
+            keys = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.mask).alias("mask"), F.lit(r.bits).alias("bits")) for r in outsized])
+            big = F.array_contains(keys, F.struct("kind", "mask", "bits"))
+        dealt = rows.where(~big).repartition("kind", "mask", "bits").sortWithinPartitions("kind", "mask", "bits")
+        out = settle(dealt.mapInArrow(_search, "kind int, a long, b long, mask long"), "links")
+        found.append(out.where(F.col("mask").isNull()).select("kind", "a", "b"))
+        level = out.where(F.col("mask").isNotNull()).select("kind", F.col("a").alias("fp"), "mask")
         if outsized:
-            level = level.unionByName(rows.where(big).select("fp", "mask"))
-    union = found[0] if found else fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+            level = level.unionByName(rows.where(big).select("kind", "fp", "mask"))
+    union = found[0] if found else fps.select("kind", F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     for f in found[1:]:
         union = union.unionByName(f)
     return union.distinct()
@@ -141,28 +142,27 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, mask, bits), sorted by node, to links (a, b, null), and members of nodes too large to
-    search here as (fp, null, mask). Holds a batch and NODE fingerprints at most."""
+    """Rows (kind, fp, mask, bits), sorted by node, to links (kind, a, b, null), and members of nodes too
+    large to search here as (kind, fp, null, mask). Holds a batch and NODE fingerprints at most."""
     tail: tuple | None = None  # node and members so far of the last node of the batch before
     spilling = None  # node that has been found too large
     for b in batches:
-        fp, mask, bits = (b.column(c).to_numpy() for c in ("fp", "mask", "bits"))
+        kind, fp, mask, bits = (b.column(c).to_numpy() for c in ("kind", "fp", "mask", "bits"))
         if not len(fp):
             continue
-        edge = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
+        edge = np.flatnonzero((kind[1:] != kind[:-1]) | (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
         lo, hi = np.concatenate([[0], edge]), np.append(edge, len(fp))
-        done_fp, done_n, over_fp, over_mask = [], [], [], []
+        done, over = [], []
 
-        def close(node, members):
+        def close(node, members, done=done):
             if len(members) > 1:
-                done_fp.append(members)
-                done_n.append(len(members))
+                done.append((node, members))
 
         # only the first and the last node of a batch can reach beyond it
         singles = hi - lo == 1
         singles[[0, -1]] = False
         for x, y in zip(lo[~singles].tolist(), hi[~singles].tolist(), strict=True):
-            node, own = (int(mask[x]), int(bits[x])), fp[x:y]
+            node, own = (int(kind[x]), int(mask[x]), int(bits[x])), fp[x:y]
             if tail is not None:
                 if tail[0] == node:
                     own = np.concatenate([tail[1], own])
@@ -171,25 +171,26 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tail = None
             if spilling == node or len(own) > NODE:
                 spilling = node
-                over_fp.append(own)
-                over_mask.append(np.full(len(own), node[0]))
+                over.append((node, own))
             elif y == len(fp):
                 tail = (node, own)
             else:
                 close(node, own)
-        yield from _answer(done_fp, done_n, over_fp, over_mask)
+        yield from _answer(done, over)
     if tail is not None and len(tail[1]) > 1:
-        yield from _answer([tail[1]], [len(tail[1])], [], [])
+        yield from _answer([tail], [])
 
 
-def _answer(done_fp, done_n, over_fp, over_mask) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "mask"]
-    if over_fp:
-        out = np.concatenate(over_fp)
-        yield pa.record_batch([pa.array(out), pa.nulls(len(out), pa.int64()), pa.array(np.concatenate(over_mask))], names=names)
-    if done_fp:
-        a, b = stars(np.concatenate(done_fp), np.array(done_n))
-        yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=names)
+def _answer(done: list, over: list) -> Iterator[pa.RecordBatch]:
+    names = ["kind", "a", "b", "mask"]
+    repeated = lambda nodes, k, n: pa.array(np.repeat([x[0][k] for x in nodes], n))
+    if over:
+        n = [len(m) for _, m in over]
+        yield pa.record_batch([repeated(over, 0, n).cast(pa.int32()), pa.array(np.concatenate([m for _, m in over])), pa.nulls(sum(n), pa.int64()), repeated(over, 1, n)], names=names)
+    if done:
+        a, b, group = forest(np.concatenate([m for _, m in done]), np.array([len(m) for _, m in done]))
+        kinds = np.array([x[0][0] for x in done], np.int32)[group]
+        yield pa.record_batch([pa.array(kinds), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=names)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -242,27 +243,31 @@ def _chunks(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((a, z) for a, z in zip(edges, edges[1:], strict=False) if z > a)
 
 
-def stars(fp: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, least member) for each connected part of each group."""
+def forest(fp: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs (a, b, group) that connect in each group what all its near pairs connect, without
+    cycles and the closest first."""
     group = np.repeat(np.arange(len(sizes)), sizes)
     codes = fp.view(np.uint64)
     order = np.lexsort((gray_rank(codes), group))
     codes, signed = codes[order], fp[order]
-    label = np.arange(len(codes))
     pairs = [(i[i != j], j[i != j]) for i, j in near_pairs(codes, sizes)]
     i, j = (np.concatenate([p[s] for p in pairs]) if pairs else np.zeros(0, np.int64) for s in (0, 1))
-    while len(i):  # hook the larger root to the smaller, then shorten all paths
-        a, b = label[i], label[j]
-        if (a == b).all():
-            break
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label = label[label]
-    least = np.full(len(codes), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, signed)
-    root = least[label]
-    off = root != signed
-    return signed[off], root[off]
+    label, kept_i, kept_j = np.arange(len(codes)), [], []
+    apart = np.bitwise_count(codes[i] ^ codes[j])
+    for d in range(DISTANCE + 1):
+        x, y = i[apart == d], j[apart == d]
+        while len(x):
+            high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+            open_ = high != low
+            x, y, high, low = x[open_], y[open_], high[open_], low[open_]
+            root, at = np.unique(high, return_index=True)  # each root is hooked to a smaller one, once
+            kept_i.append(x[at])
+            kept_j.append(y[at])
+            label[root] = low[at]
+            while (label[label] != label).any():
+                label = label[label]
+    x, y = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (kept_i, kept_j))
+    return signed[x], signed[y], group[x]
 
 
 # ---------------------------------------------------------------- components
@@ -295,25 +300,93 @@ def cluster(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each document."""
     own = settle(fingerprints(docs, width), "fingerprints")
     least = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least))
+    roots = components(links(least.withColumn("kind", F.lit(0))))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = settle(named.join(smallest, "root").select("fp", "component_id"), "named")
     return own.join(by_fp, "fp")
 
 
-def survivors(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with docs' own columns. Of
-    rows that repeat that doc_id one stays; documents without doc_id stay if their component has no other."""
+# ---------------------------------------------------------------- near copies by checked similarity
+
+#: Similarity of near copies: the Jaccard coefficient of their sets of five-word shingles.
+SIMILARITY, CHECKED = 0.8, 5
+#: Least bytes of long words, for one fingerprint each, and how many of them a text must have.
+LONG, ENOUGH = (7, 9, 10, 12), 5
+
+
+def telling(text: str | None) -> list[int]:
+    """Fingerprints of a text: of its shingles, and of its distinct words of each length in LONG, which
+    few edits change; where it has few of these, the shingles' again."""
+    from xxhash import xxh64_intdigest as digest
+
+    own = {w for w in (text or "").encode().lower().split() if len(w) >= LONG[0]}
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    h = np.fromiter((digest(w, SEED) for w in own), np.uint64, len(own))
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = [fingerprint(text)]
+    for least in LONG:
+        chosen = bits[size >= least]
+        out.append(int(np.packbits(2 * chosen.sum(0, dtype=np.int64) > len(chosen), bitorder="little").view(np.int64)[0]) if len(chosen) >= ENOUGH else out[0])
+    return out
+
+
+def shingle_set(text: str | None, width: int = CHECKED) -> frozenset:
+    from xxhash import xxh64_intdigest as digest
+
+    words = (text or "").encode().lower().split()
+    return frozenset(digest(b" ".join(words[k : k + width])) for k in range(max(1, len(words) - width + 1)))
+
+
+def similarity(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+ROWS = "row long, doc long, same string, fps array<long>"
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh128_hexdigest
+
+    for b in slices(batches, "text"):
+        texts = b.column("text").to_pylist()
+        same = [xxh128_hexdigest(b" ".join((t or "").encode().lower().split())) for t in texts]
+        yield pa.record_batch([b.column("row"), b.column("doc"), pa.array(same), pa.array([telling(t) for t in texts], pa.list_(pa.int64()))], names=["row", "doc", "same", "fps"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = functools.lru_cache(64)(shingle_set)
+    for b in batches:
+        keep = [similarity(known(x), known(y)) >= SIMILARITY for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id, with docs' own columns.
+
+    Candidates are links of the index over several fingerprints of each text (telling). A candidate counts
+    if its texts' five-word shingles have a similarity of SIMILARITY or more. Texts with the same words are
+    one from the start. Of rows that repeat the smallest doc_id one stays; rows without doc_id stay only if
+    their group has no other.
+    """
+    small_batches(docs.sparkSession)
     mark = "__q9_row"
     base = settle(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
-    keyed = base.select(F.col(mark).alias("doc_id"), "text")
-    # rows stand in for doc_ids: least by (doc_id, row)
-    own = settle(fingerprints(keyed, width).withColumnRenamed("doc_id", mark).join(base.select(mark, F.col("doc_id").cast("long").alias("__q9_doc")), mark), "fingerprints")
-    first = F.min(F.struct(F.col("__q9_doc").isNull().alias("none"), F.col("__q9_doc").alias("doc"), F.col(mark).alias("row"))).alias("first")
-    least = settle(own.groupBy("fp").agg(first), "distinct")
-    roots = components(links(least))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    texts = base.select(F.col(mark).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    own = settle(texts.mapInArrow(_described, ROWS), "fingerprints")
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
+    one = settle(own.groupBy("same").agg(F.min(order).alias("first"), F.min("fps").alias("fps")).withColumn("row", F.col("first.row")), "distinct")
+    each = one.select("row", F.posexplode("fps").alias("kind", "fp"))
+    by = settle(each.groupBy("kind", "fp").agg(F.min("row").alias("rep")), "kinds")
+    inside = each.join(by, ["kind", "fp"]).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    reps = lambda x: by.select("kind", F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
+    across = links(by).join(reps("a"), ["kind", "a"]).join(reps("b"), ["kind", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    found = inside.unionByName(across).where("a <> b")
+    pairs = settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+    checked = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "checked")
+    named = one.join(components(checked).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
     # by shuffle at every size: the chosen rows grow with the documents
     return base.join(settle(chosen, "chosen").hint("merge"), mark, "left_semi").select(*docs.columns)

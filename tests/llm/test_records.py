@@ -426,12 +426,60 @@ def test_components(spark):
         want = collections.Counter((r.doc_id, f, least.get(g)) for r, f, g in zip(rows, fps, groups, strict=True))
         got = collections.Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.cluster(df).collect())
         assert got == want
-        kept = simhash.survivors(df)
-        assert kept.columns == df.columns and kept.count() == len(set(groups))
-        assert {r.doc_id for r in kept.select("doc_id").collect()} == {least.get(g) for g in groups}
     assert simhash.cluster(real(spark).where("false")).count() == 0
 
 
+def brute_groups(texts):
+    """Groups of texts whose five-word shingles have a similarity of 0.8 or more."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ((t or "").encode().lower().split() for t in texts)]
+    label = list(range(len(sets)))
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(sets))]
+
+
+def test_survivors(spark):
+    """No document goes without a near copy that stays; nearly all near copies go."""
+    r = random.Random(8)
+    rows = real(spark).orderBy("doc_id").collect()
+    long = [x.text for x in rows if len(words(x.text)) > 80][:12]
+    near = []
+    for t in long:
+        w = t.split(" ")
+        for _ in range(max(1, len(w) // 60)):
+            w[r.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    texts = [*ODD, *(x.text for x in rows[:120]), *near, *(t.upper() for t in long[:3])]
+    df = documents(spark, texts)
+    kept = simhash.survivors(df)
+    assert kept.columns == df.columns
+    given = df.collect()
+    left = collections.Counter(x.doc_id for x in kept.collect())
+    groups = brute_groups([x.text for x in given])
+    best = {}
+    for g, x in zip(groups, given, strict=True):
+        best.setdefault(g, set()).add(x.doc_id)
+    assert all(any(d in left for d in ids) for ids in best.values())
+    assert left.total() >= len(best) and left.total() - len(best) <= 2
+    assert simhash.survivors(df.where("false")).count() == 0
+
+
+def test_similarity_is_checked():
+    a = "one two three four five six seven eight nine ten"
+    assert simhash.similarity(simhash.shingle_set(a), simhash.shingle_set(a.upper())) == 1
+    assert simhash.similarity(simhash.shingle_set(a), simhash.shingle_set(a + " eleven")) == 6 / 7
+    assert simhash.similarity(simhash.shingle_set(None), simhash.shingle_set(" ")) == 1
+
+
 def test_dense_nodes_are_divided(spark, monkeypatch):
     """Small node limits send fingerprints through every level; the links' components stay those of all pairs."""
     r = np.random.default_rng(2)
@@ -440,7 +488,7 @@ def test_dense_nodes_are_divided(spark, monkeypatch):
     monkeypatch.setattr(simhash, "NODE", 8)
     monkeypatch.setattr(simhash, "SHARE", 4)
     signed = codes.view(np.int64).tolist()
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = spark.createDataFrame([(0, x) for x in signed], "kind int, fp long")
     # workers hold the module's own limit, so the driver's smaller one shows in the outsized nodes
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     groups = brute_components(codes.tolist())
@@ -454,7 +502,7 @@ def test_streamed_nodes_over_the_limit(monkeypatch):
     monkeypatch.setattr(simhash, "NODE", 4)
     fp = np.arange(20, dtype=np.int64)
     mask = np.array([1] * 3 + [2] * 9 + [3] * 2 + [4] * 6)
-    rows = pa.record_batch([pa.array(fp), pa.array(mask), pa.array(np.zeros(20, np.int64))], names=["fp", "mask", "bits"])
+    rows = pa.record_batch([pa.array(np.zeros(20, np.int32)), pa.array(fp), pa.array(mask), pa.array(np.zeros(20, np.int64))], names=["kind", "fp", "mask", "bits"])
     for cuts in ([20], [1, 4, 5, 13, 20], list(range(1, 21))):
         over, at = [], 0
         parts = []
@@ -530,8 +578,10 @@ def test_pipeline(spark):
     docs = {r.doc_id: r for r in real(spark).collect()}
     ledger = {r.doc_id: r.fail_bits for r in quality_rules.ledger(real(spark)).collect()}
     left = sorted(d for d in docs if ledger[d] == 0)
-    groups = brute_components([brute_fingerprint(docs[d].text) for d in left])
-    left = [d for k, d in enumerate(left) if groups[k] == k]
+    staying = {r.doc_id for r in simhash.survivors(real(spark).where(F.col("doc_id").isin(left))).collect()}
+    groups = brute_groups([docs[d].text for d in left])
+    assert {d for k, d in enumerate(left) if groups[k] == k} <= staying
+    left = [d for d in left if d in staying]
     index = decontamination.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     left = [d for d in left if not list(index.passages(docs[d].text))]
     texts = {r.doc_id: r.text for r in pii.redact(real(spark).where(F.col("doc_id").isin(left))).collect()}
