@@ -378,8 +378,9 @@ def survivors(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
     one = settle(own.groupBy("same").agg(F.min(order).alias("first"), F.min("fps").alias("fps")).withColumn("row", F.col("first.row")), "distinct")
     each = one.select("row", F.posexplode("fps").alias("kind", "fp"))
-    by = settle(each.groupBy("kind", "fp").agg(F.min("row").alias("rep")), "kinds")
-    inside = each.join(by, ["kind", "fp"]).where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    by = settle(each.groupBy("kind", "fp").agg(F.min("row").alias("rep"), F.max("row").alias("last")), "kinds")
+    # texts of one fingerprint are held against its first and its last
+    inside = each.join(by, ["kind", "fp"]).select(F.col("row").alias("a"), F.explode(F.array("rep", "last")).alias("b"))
     reps = lambda x: by.select("kind", F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
     across = links(by).join(reps("a"), ["kind", "a"]).join(reps("b"), ["kind", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     found = inside.unionByName(across).where("a <> b")
