@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refold.functions.borders import BORDER_HANDLING, PADDING
 from refold.functions.kernels import Kernel
@@ -21,7 +22,7 @@ from refold.plans.planner import Plan, build
 from refold.plans.requests import Request
 
 from . import solve
-from .clips import COLUMNS, Clip, join_planes
+from .clips import COLUMNS, PLANE, Clip, join_planes
 
 F64 = {0: "auto", 1: "f32", 2: "f64"}
 ENGINES = ("auto", "cpu")
@@ -110,9 +111,7 @@ def _mapped(clip: Clip, plans: dict[tuple[str, bool], Plan], width: int, height:
 
 
 def _solved(batch: pa.RecordBatch, plans, family: str, bits: int, subsampled: bool) -> pa.RecordBatch:
-    samples = batch.column("samples")
-    flat, at = samples.flatten().to_numpy(zero_copy_only=False), samples.offsets.to_numpy()
-    at = at - at[0]
+    given = arrays(batch.column("samples"))
     rows = list(zip(*(batch.column(c).to_pylist() for c in ("plane", "width", "height", "props")), strict=True))
     groups: dict[tuple, list[int]] = {}
     for k, (plane, w, h, props) in enumerate(rows):
@@ -120,22 +119,40 @@ def _solved(batch: pa.RecordBatch, plans, family: str, bits: int, subsampled: bo
         full = is_full_range(dict(props or ()), family == "RGB") if bits < 32 else None
         groups.setdefault((w, h, chroma, full), []).append(k)
     out: list = [None] * len(rows)
-    sizes = [(0, 0)] * len(rows)
     for (w, h, chroma, full), members in groups.items():
-        stack = np.stack([flat[at[k] : at[k + 1]].reshape(h, w) for k in members])
         across, down = (plans.get((a, chroma and subsampled)) for a in "hv")
-        if bits < 32:
-            made = _planes(across, down, stack, sample_range(bits, full, chroma))
-        else:
-            made = _planes(across, down, stack, None)
-        for k, plane in zip(members, made, strict=True):
-            out[k], sizes[k] = plane.ravel(), plane.shape
-    lengths = np.cumsum([0, *map(len, out)])
-    values = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out).astype(np.float32)))
-    columns = {c: batch.column(c) for c in COLUMNS} | {"samples": values.cast(samples.type), "width": pa.array([s[1] for s in sizes], pa.int32()), "height": pa.array([s[0] for s in sizes], pa.int32())}
+        codes = sample_range(bits, full, chroma) if bits < 32 else None
+        side = max(1, SIDE // (w * h))
+        for at in range(0, len(members), side):
+            some = members[at : at + side]
+            made = _planes(across, down, np.stack([given[k].reshape(h, w) for k in some]), codes)
+            for k, plane in zip(some, made, strict=True):
+                out[k] = plane
+    columns = {c: batch.column(c) for c in COLUMNS} | {"samples": column(out, batch.column("samples").type)}
+    columns |= {"width": pa.array([p.shape[1] for p in out], pa.int32()), "height": pa.array([p.shape[0] for p in out], pa.int32())}
     return pa.record_batch([columns[c] for c in COLUMNS], names=list(COLUMNS))
 
 
+#: Samples of small planes solved side by side.
+SIDE = 1 << 20
+
+
+def arrays(samples: pa.Array) -> list[np.ndarray]:
+    """Each row's samples, from a list column or a packed one (little-endian 32-bit floats), as views."""
+    if pa.types.is_binary(samples.type) or pa.types.is_large_binary(samples.type):
+        return [np.frombuffer(x.as_buffer(), "<f4") for x in samples]
+    flat, at = samples.flatten().to_numpy(zero_copy_only=False), samples.offsets.to_numpy()
+    return [flat[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def column(planes: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Planes as a column of the given type, list or packed."""
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return pa.array([np.ascontiguousarray(p, "<f4").tobytes() for p in planes], kind)
+    at = np.cumsum([0, *(p.size for p in planes)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([p.ravel() for p in planes]).astype(np.float32))).cast(kind)
+
+
 def _planes(h: Plan | None, v: Plan | None, stack: np.ndarray, codes) -> np.ndarray:
     """A stack (plane, height, width) with both axes undone; all planes' lanes run side by side."""
     double = bool(h and h.double or v and v.double)
@@ -155,15 +172,16 @@ def forward_resample(clip: Clip, width: int, height: int, kernel: Kernel, *, src
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_forward(across, down, np.array(s, np.float64).reshape(h, w)) for s, w, h in zip(*(batch.column(c).to_pylist() for c in ("samples", "width", "height")), strict=True)]
-            columns = {c: batch.column(c) for c in COLUMNS} | {"samples": pa.array(made, pa.list_(pa.float32())).cast(batch.column("samples").type), "width": pa.array([width] * len(made), pa.int32()), "height": pa.array([height] * len(made), pa.int32())}
+            sizes = zip(*(batch.column(c).to_pylist() for c in ("width", "height")), strict=True)
+            made = [_forward(across, down, s.astype(np.float64).reshape(h, w)) for s, (w, h) in zip(arrays(batch.column("samples")), sizes, strict=True)]
+            columns = {c: batch.column(c) for c in COLUMNS} | {"samples": column(made, batch.column("samples").type), "width": pa.array([width] * len(made), pa.int32()), "height": pa.array([height] * len(made), pa.int32())}
             yield pa.record_batch([columns[c] for c in COLUMNS], names=list(COLUMNS))
 
     return clip.of(clip.rows.select(*COLUMNS).mapInArrow(run, clip.rows.select(*COLUMNS).schema), width=width, height=height)
 
 
 def _forward(across: Plan, down: Plan, plane: np.ndarray) -> np.ndarray:
-    return solve.forward(down, np.ascontiguousarray(solve.forward(across, np.ascontiguousarray(plane.T)).T)).ravel().astype(np.float32)
+    return solve.forward(down, np.ascontiguousarray(solve.forward(across, np.ascontiguousarray(plane.T)).T)).astype(np.float32)
 
 
 def debilinear(clip, width, height, **args):
@@ -238,3 +256,25 @@ def inverse_rows(df: DataFrame, samples: str, request: Request, keys: tuple[str,
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, samples).mapInArrow(run, f"{schema}, samples array<{kind}>")
+
+
+def packed(clip: Clip) -> Clip:
+    """The clip with each plane's samples as bytes of little-endian 32-bit floats: Arrow and Spark then
+    move a plane as one value. Resampling and plane search take either form; `unpacked` goes back."""
+    return clip.of(_recast(clip.rows, "binary"))
+
+
+def unpacked(clip: Clip) -> Clip:
+    return clip.of(_recast(clip.rows, "array<float>"))
+
+
+def _recast(rows: DataFrame, kind: str) -> DataFrame:
+    listed = pa.binary() if kind == "binary" else pa.list_(pa.float32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {c: b.column(c) for c in COLUMNS} | {"samples": column([np.asarray(x, np.float32) for x in arrays(b.column("samples"))], listed)}
+            yield pa.record_batch([columns[c] for c in COLUMNS], names=list(COLUMNS))
+
+    shape = T.StructType([f if f.name != "samples" else T.StructField("samples", T.BinaryType() if kind == "binary" else T.ArrayType(T.FloatType())) for f in PLANE.fields])
+    return rows.select(*COLUMNS).mapInArrow(run, shape)

@@ -20,6 +20,7 @@ from refold.plans.planner import build
 from refold.plans.requests import Request
 
 from . import solve
+from .resample import arrays
 
 MEASURES = "max_abs double, mae double, mse double, rmse double, psnr double, thresholded_mae double, fraction_over double"
 
@@ -126,26 +127,35 @@ def plane_search(spark: SparkSession, clip, kernels: list[Kernel], sizes: list[f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for frame_no, plane, part, samples in zip(*(b.column(c).to_pylist() if c != "samples" else b.column(c) for c in ("frame_no", "plane", "part", "samples")), strict=True):
-                y = np.array(samples.values.to_numpy(zero_copy_only=False), np.float32).reshape(height, width)
-                rows = []
+            for frame_no, plane, part, samples in zip(*(b.column(c).to_pylist() for c in ("frame_no", "plane", "part")), arrays(b.column("samples")), strict=True):
+                y = np.asarray(samples, np.float32).reshape(height, width)
                 mine = range(part, len(labels), tasks)
-                pairs = [_axes(labels[i], width, height, border, vertical_only) for i in mine]
-                plans = iter(build([r for p in pairs for r in p]))
-                for i, p in zip(mine, pairs, strict=True):
-                    v, h = next(plans), next(plans) if len(p) == 2 else None
-                    again = _again(y, v, h)
-                    inner = (slice(edge, height - edge), slice(edge, width - edge))
-                    m = measures(y[inner].reshape(-1, 1), again[inner].reshape(-1, 1), threshold, mode)
-                    k, size = labels[i]
-                    rows.append((frame_no, plane, i, k.name, k.kind, size, *(None if np.isnan(x[0]) else float(x[0]) for x in m)))
-                if rows:
+                for at in range(0, len(mine), CHUNK):
+                    rows = [(frame_no, plane, i, *_scored(y, labels[i], plans, threshold, mode, edge)) for i, plans in _planned(mine[at : at + CHUNK], labels, width, height, border, vertical_only)]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 8), strict=True)], names=["frame_no", "plane", "idx", "scaler", "family", "size", *names])
 
     dealt = clip.rows.select("frame_no", "plane", "samples", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part")).repartition(tasks, "part")
     return dealt.mapInArrow(run, f"frame_no int, plane int, idx long, scaler string, family string, size double, {MEASURES}")
 
 
+#: Candidates planned side by side.
+CHUNK = 32
+
+
+def _planned(places, labels: list, width: int, height: int, border: str, vertical_only: bool) -> list:
+    """(place, plans of its axes) for each place."""
+    wanted = [_axes(labels[i], width, height, border, vertical_only) for i in places]
+    plans = iter(build([r for w in wanted for r in w]))
+    return [(i, [next(plans) for _ in w]) for i, w in zip(places, wanted, strict=True)]
+
+
+def _scored(y: np.ndarray, label: tuple, plans: list, threshold: float, mode: str, edge: int) -> tuple:
+    again = _again(y, *plans, *[None] * (2 - len(plans)))
+    inner = (slice(edge, y.shape[0] - edge), slice(edge, y.shape[1] - edge))
+    m = measures(y[inner].reshape(-1, 1), again[inner].reshape(-1, 1), threshold, mode)
+    return label[0].name, label[0].kind, label[1], *(None if np.isnan(x[0]) else float(x[0]) for x in m)
+
+
 def _axes(label: tuple, width: int, height: int, border: str, vertical_only: bool) -> list[Request]:
     kernel, size = label
     wide = size * width / height

@@ -141,3 +141,13 @@ def test_batcher(spark, tmp_path):
             break
     q.stop()
     assert sorted((r.key, r.batch, r.n, r.full) for r in spark.table("batches").collect()) == [(k, b, 8, True) for k in "01" for b in (0, 1)]
+
+
+def test_packed_planes_give_the_same(gray):
+    plain, packed = resample.debicubic(gray, 80, 48), resample.debicubic(resample.packed(gray), 80, 48)
+    assert packed.rows.schema["samples"].dataType.simpleString() == "binary"
+    got = planes(resample.unpacked(packed))
+    for k, p in planes(plain).items():
+        np.testing.assert_array_equal(got[k], p)
+    forward = planes(resample.unpacked(resample.forward_resample(resample.packed(gray), 100, 70, Kernel("spline36"))))
+    np.testing.assert_array_equal(forward[0, 0], planes(resample.forward_resample(gray, 100, 70, Kernel("spline36")))[0, 0])
