@@ -702,3 +702,63 @@ def count_batches(spark, read):
 def recent_callers(spark, read):
     rows = read("events").withColumn("at", F.expr(_MICROS))
     return batcher.recent_callers(rows, "event_type", "user_id", "at", 600_000_000).select("event_id", "callers")
+
+
+# ---------------------------------------------------------------- filters and gates
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type LIKE 'p%' OR contains(event_type, 'ck')")
+def label_filter(spark, read):
+    return read("events").where(F.col("event_type").startswith("p") | F.contains(F.col("event_type"), F.lit("ck"))).select("event_id", "event_type")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+def time_range(spark, read):
+    at = F.col("o_orderdate")
+    return read("orders").where((at >= F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00'")) & (at < F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00'"))).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 1")
+def shard(spark, read):
+    return read("events").where(F.col("event_id") % 4 == 1).select("event_id")
+
+
+@query("SELECT round(coalesce(sum(CASE WHEN l_returnflag = 'A' THEN 0 END), 0), 2) + 0.0 AS control_hits, round(sum(l_quantity) FILTER (l_returnflag <> 'A'), 2) + 0.0 AS candidate_hits, 0::BIGINT AS errors, min(l_tax) AS least_free, true AS passed FROM lineitem")
+def evidence_gate(spark, read):
+    control = F.col("l_returnflag") == "A"
+    rows = read("lineitem").select(F.when(control, "control").otherwise("candidate").alias("variant"), F.when(control, 0.0).otherwise(F.col("l_quantity")).alias("hits"), F.lit(0).alias("errors"), F.col("l_tax").alias("free"))
+    return stats.evidence_gate(rows, "variant", "hits", "errors", "free", 0.0).withColumns({"control_hits": _r("control_hits", 2), "candidate_hits": _r("candidate_hits", 2)})
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS count, sum(l_quantity::BIGINT) AS ns, round(count(*) * 1e9 / sum(l_quantity::BIGINT), 3) + 0.0 AS per_second FROM lineitem GROUP BY ALL")
+def throughput(spark, read):
+    rows = read("lineitem").select("l_returnflag", "l_linestatus", F.lit(1).alias("one"), F.col("l_quantity").cast("long").alias("q"))
+    return stats.throughput(rows, "one", "q", "l_returnflag", "l_linestatus").withColumn("per_second", _r("per_second", 3))
+
+
+@query("SELECT l_returnflag, round(median(l_quantity) FILTER (l_linestatus = 'O') / median(l_quantity) FILTER (l_linestatus = 'F'), 6) + 0.0 AS speedup FROM lineitem GROUP BY ALL")
+def speedups(spark, read):
+    return stats.speedups(read("lineitem"), "l_linestatus", "F", "O", "l_quantity", "l_returnflag").withColumn("speedup", _r("speedup"))
+
+
+@query("SELECT event_type, name, count(*) AS n, sum(value)::BIGINT AS total, max(value)::BIGINT AS greatest FROM (SELECT event_type, 'user' AS name, user_id AS value FROM events UNION ALL SELECT event_type, 'id', event_id FROM events) GROUP BY ALL")
+def property_summary(spark, read):
+    rows = read("events").select("event_type", F.create_map(F.lit("user"), F.col("user_id"), F.lit("id"), F.col("event_id")).alias("props"))
+    return stats.properties(rows, "props", "event_type")
+
+
+@query("SELECT p_partkey, round(0.25 - 0.25 * (p_size * 16) / 1920 + 0.5 * (p_size / 7.0) , 9) + 0.0 AS shift, round(p_size * 16 * 0.5, 9) + 0.0 AS active FROM part")
+def chroma_geometry(spark, read):
+    """Window of a half-width chroma plane for a luma window of p_size * 16 samples at p_size / 7."""
+    wide = F.col("p_size") * 16
+    return read("part").select("p_partkey", _r(F.lit(0.25) - F.lit(0.25) * wide / 1920 + F.col("p_size") / F.lit(7.0) * 0.5, 9).alias("shift"), _r(wide * F.lit(0.5), 9).alias("active"))
+
+
+@query("SELECT event_id, coalesce(r, c, 1) = 1 AS is_full FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 2 END AS r, CASE WHEN event_id % 5 = 0 THEN event_id % 2 END AS c FROM events)")
+def frame_range(spark, read):
+    """_Range before _ColorRange; neither: the RGB default."""
+    from refold.functions.numbers import is_full_range_column
+
+    e = F.col("event_id")
+    props = F.map_from_entries(F.filter(F.array(F.when(e % 3 == 0, F.struct(F.lit("_Range"), e % 2)), F.when(e % 5 == 0, F.struct(F.lit("_ColorRange"), e % 2))), lambda x: x.isNotNull()))
+    return read("events").select("event_id", is_full_range_column(props, True).alias("is_full"))

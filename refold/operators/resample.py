@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from refold.functions.borders import BORDER_HANDLING, PADDING
 from refold.functions.kernels import Kernel
 from refold.functions.numbers import is_full_range, sample_range
+from refold.plans.cache import PLANS
 from refold.plans.planner import Plan, build
 from refold.plans.requests import Request
 
@@ -66,7 +67,7 @@ def inverse_resample(
             small = clip.height >> sh
             part = small / clip.height
             requests["v", chroma] = Request(small, height >> sh, down * part, src_top * part, shape, border, mode)
-    plans = dict(zip(requests, build(requests.values()), strict=True))
+    plans = dict(zip(requests, PLANS.get(requests.values()), strict=True))
     return clip.of(_mapped(clip, plans, width, height), width=width, height=height)
 
 

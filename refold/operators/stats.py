@@ -132,3 +132,29 @@ def bootstrap_median_ratio(pairs_: DataFrame, resamples: int, seed: int, *keys:
 
     schema = ", ".join(f"{k} {pairs_.schema[k].dataType.simpleString()}" for k in keys)
     return pairs_.select(*keys, "ratio").groupBy(*keys).applyInPandas(draw, f"{schema}, n long, median double, lower double, upper double")
+
+
+def evidence_gate(runs: DataFrame, variant: str, hits: str, errors: str, free: str, least_free: float) -> DataFrame:
+    """One row of sums over all runs, and whether the control stayed unused, the candidate was used, nothing
+    failed and memory stayed free."""
+    of = lambda v, c: F.coalesce(F.sum(F.when(F.col(variant) == v, F.col(c))), F.lit(0)).cast("double")
+    by = runs.agg(of("control", hits).alias("control_hits"), of("candidate", hits).alias("candidate_hits"), F.sum(errors).alias("errors"), F.min(free).alias("least_free"))
+    return by.withColumn("passed", (F.col("control_hits") == 0) & (F.col("candidate_hits") > 0) & (F.col("errors") == 0) & (F.col("least_free") >= least_free))
+
+
+def throughput(rows: DataFrame, count: str, nanoseconds: str, *keys: str) -> DataFrame:
+    """Batches combined: summed counts and times, and the rate; null without time."""
+    by = rows.groupBy(*keys).agg(F.sum(count).alias("count"), F.sum(nanoseconds).alias("ns"))
+    return by.withColumn("per_second", F.try_divide(F.col("count") * 1e9, F.col("ns")))
+
+
+def speedups(rates: DataFrame, variant: str, old: str, new: str, rate: str, *keys: str) -> DataFrame:
+    """Ratio of the variants' median rates; null where one is missing."""
+    m = lambda v: F.median(F.when(F.col(variant) == v, F.col(rate)))
+    return rates.groupBy(*keys).agg(F.try_divide(m(new), m(old)).alias("speedup"))
+
+
+def properties(rows: DataFrame, props: str, *keys: str) -> DataFrame:
+    """Number, sum and greatest value of each property of a map column."""
+    each = rows.select(*keys, F.explode(props).alias("name", "value"))
+    return each.groupBy(*keys, "name").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.max("value").alias("greatest"))

@@ -205,3 +205,23 @@ def test_digests():
     assert digests.stable_hash(b"") == digests.BASIS
     assert digests.ulp_distance(np.float32([1, -0.0, -1e-45]), np.float32([np.nextafter(np.float32(1), np.float32(2)), 0.0, 1e-45])).tolist() == [1, 0, 2]
     assert digests.xorshift32(2, 1).tolist() == [270369, 67634689]
+
+
+def test_plan_cache():
+    from refold.plans import cache
+
+    c = cache.PlanCache(entries=2)
+    a, b, d = (axis(40, n, Kernel("bilinear")) for n in (30, 31, 32))
+    one = c.get([a, a])
+    assert one[0] is one[1] is c.get([a])[0] and c.statistics()["builds"] == 1 and c.statistics()["hits"] == 1
+    c.get([b])
+    c.get([a])
+    c.get([d])  # b was used least recently
+    assert set(c.plans) == {a.key, d.key} and c.statistics()["bytes"] == sum(map(cache.size, c.plans.values()))
+    custom = axis(40, 30, Kernel("custom", 1, weight=lambda x: max(1 - x, 0)))
+    c.get([custom])
+    assert custom.key not in c.plans and cache.capabilities()["cpu"]["available"]
+    cache.check(one[0])
+    one[0].factors[0, 0] = np.nan
+    with pytest.raises(ValueError, match="failed"):
+        cache.check(one[0])
