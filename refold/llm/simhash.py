@@ -331,15 +331,17 @@ def telling(text: str | None) -> list[int]:
     return out
 
 
-def shingle_set(text: str | None, width: int = CHECKED) -> frozenset:
+def shingle_set(text: str | None, width: int = CHECKED) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
     from xxhash import xxh64_intdigest as digest
 
     words = (text or "").encode().lower().split()
-    return frozenset(digest(b" ".join(words[k : k + width])) for k in range(max(1, len(words) - width + 1)))
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + width])) for k in range(n)), np.uint64, n))
 
 
-def similarity(a: frozenset, b: frozenset) -> float:
-    both = len(a & b)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -356,7 +358,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = functools.lru_cache(64)(shingle_set)
+    known = functools.lru_cache(16)(shingle_set)
     for b in batches:
         keep = [similarity(known(x), known(y)) >= SIMILARITY for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
