@@ -228,7 +228,7 @@ def convert(clip: Clip, bits: int) -> Clip:
     return clip.of(rows, bits=bits)
 
 
-def descale_any(clip: Clip, width: int, height: int, kernel: str, gray: bool = False, **args) -> Clip:
+def inverse_by_family(clip: Clip, width: int, height: int, kernel: str, gray: bool = False, **args) -> Clip:
     """By family: RGB and gray plane by plane; YUV with luma undone and chroma brought to the new size by
     spline36, unless gray is asked for or chroma has luma's size."""
     if clip.family != "YUV" or not (clip.sub_w or clip.sub_h) and not gray:

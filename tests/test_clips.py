@@ -100,8 +100,8 @@ def test_yuv_420(spark):
     assert {k: p.shape for k, p in out.items()} == {(0, 0): (48, 80), (0, 1): (24, 40), (0, 2): (24, 40)}
     h, v = planner.build([axis(48, 40, Kernel("bicubic"), shift=0.25 - 0.25 * 80 / 96), axis(32, 24, Kernel("bicubic"))])
     np.testing.assert_allclose(out[0, 1], solve.inverse_2d(h, v, planes(chroma)[0, 1]), atol=2e-5)
-    wrapped = planes(resample.descale_any(yuv, 80, 48, "bicubic"))
-    assert wrapped[0, 1].shape == (24, 40) and resample.descale_any(yuv, 80, 48, "bicubic", gray=True).planes == 1
+    wrapped = planes(resample.inverse_by_family(yuv, 80, 48, "bicubic"))
+    assert wrapped[0, 1].shape == (24, 40) and resample.inverse_by_family(yuv, 80, 48, "bicubic", gray=True).planes == 1
     with pytest.raises(ValueError, match="divisible"):
         resample.debicubic(yuv, 81, 48)
 
