@@ -91,3 +91,45 @@ def inverse_codes(h: Plan | None, v: Plan | None, codes: np.ndarray, given, want
     if v:
         x = step(v, x)
     return (wanted or given).encode(np.asarray(x)).astype(np.int32)
+
+
+def inverse_partitioned(plan: Plan, y: np.ndarray, chunks: int) -> np.ndarray:
+    """The double-precision solution with the axis cut into 2..32 chunks of at least 32 samples.
+
+    A chunk's recurrence is linear in the samples carried into it: it is run once for its own right side
+    and once for each unit carry, all chunks side by side. Then the carries are passed along the chunks, and
+    each chunk adds what its carry brings. So the steps in a row are those of one chunk, not of the axis.
+    """
+    x, f, hb = _gather(plan.sources, plan.weights, np.asarray(y, np.float64)), plan.factors, plan.half_bandwidth
+    n = len(x)
+    chunks = max(1, min(chunks, 32, n // max(32, hb)))
+    if chunks < 2 or hb == 0:
+        return inverse_double(plan, y)
+    back = np.zeros((n, hb))
+    ahead = np.zeros((n, hb))
+    for d in range(1, hb + 1):
+        back[d:, hb - d] = f[d, : n - d]
+        ahead[: n - d, d - 1] = f[d, : n - d]
+    x = _recur(back, x, chunks)
+    x /= (f[0] + EPS)[:, None]
+    # from the far end the other way: the same recurrence on reversed places
+    return _recur(ahead[::-1, ::-1], x[::-1], chunks)[::-1]
+
+
+def _recur(c: np.ndarray, r: np.ndarray, chunks: int) -> np.ndarray:
+    """x[i] = r[i] - c[i] . x[i - hb .. i - 1], with zeros before the first."""
+    (n, hb), lanes = c.shape, r.shape[1]
+    size = -(-n // chunks)
+    pad = chunks * size - n
+    cs = np.pad(c, ((0, pad), (0, 0))).reshape(chunks, size, hb)
+    own = np.concatenate([np.pad(r, ((0, pad), (0, 0))).reshape(chunks, size, lanes), np.zeros((chunks, size, hb))], axis=2)
+    run = np.zeros((chunks, hb + size, lanes + hb))
+    run[:, :hb, lanes:] = np.eye(hb)  # the last columns answer to each unit carry
+    for i in range(size):
+        run[:, hb + i] = own[:, i] - np.einsum("kb,kbl->kl", cs[:, i], run[:, i : i + hb])
+    carry, out = np.zeros((hb, lanes)), []
+    for k in range(chunks):
+        whole = run[k, :, :lanes] + run[k, :, lanes:] @ carry
+        out.append(whole[hb:])
+        carry = whole[-hb:]
+    return np.concatenate(out)[:n]

@@ -225,3 +225,12 @@ def test_plan_cache():
     one[0].factors[0, 0] = np.nan
     with pytest.raises(ValueError, match="failed"):
         cache.check(one[0])
+
+
+@pytest.mark.parametrize("chunks", [2, 5, 32])
+def test_partitioned_solution_is_the_whole_one(chunks):
+    for r in (axis(1080, 980, Kernel("lanczos", 2), 978.1, 0.95), axis(300, 211, Kernel("spline64"), 211, 0.3, "repeat", "f64"), axis(41, 35, Kernel("bilinear"), mode="f64")):
+        plan = planner.build([r])[0]
+        y = np.random.default_rng(5).random((r.source_size, 3))
+        want = solve.inverse_double(plan, y)
+        np.testing.assert_allclose(solve.inverse_partitioned(plan, y, chunks), want, atol=1e-9 * max(1, np.abs(want).max()) / max(plan.rcond, 1e-3))
