@@ -7,11 +7,23 @@ import numpy as np
 from refold.plans.planner import EPS, Plan
 
 
+#: Values of a block of rows that stay in a core's cache while they are summed.
+BLOCK = 1 << 16
+
+
 def _gather(index: np.ndarray, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each row of index the weighted sum of y's rows, in the order of its columns."""
-    out = weights[:, :1] * y[index[:, 0]]
-    for k in range(1, weights.shape[1]):
-        out += weights[:, k : k + 1] * y[index[:, k]]
+    n, lanes = len(index), y.shape[1]
+    out = np.empty((n, lanes), np.result_type(weights, y))
+    step = max(1, BLOCK // max(1, lanes))
+    part = np.empty((min(step, n), lanes), out.dtype)
+    for at in range(0, n, step):
+        rows, w = index[at : at + step], weights[at : at + step]
+        total, term = out[at : at + step], part[: len(rows)]
+        np.multiply(w[:, :1], y[rows[:, 0]], out=total)
+        for k in range(1, weights.shape[1]):
+            np.multiply(w[:, k : k + 1], y[rows[:, k]], out=term)
+            total += term
     return out
 
 
