@@ -338,7 +338,7 @@ def blank_clip(spark, read):
     return _shown(clips.blank(spark, 4, 3, 5, 0.25))
 
 
-@query("SELECT event_id, event_type, sum(change) OVER (ORDER BY event_id) AS segment FROM (SELECT event_id, event_type, user_id, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS change FROM (SELECT * FROM events WHERE user_id = 7))")
+@query("SELECT event_id, event_type, (sum(change) OVER (ORDER BY event_id))::BIGINT AS segment FROM (SELECT event_id, event_type, user_id, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS change FROM (SELECT * FROM events WHERE user_id = 7))")
 def run_segments(spark, read):
     return clips.segments(read("events").where("user_id = 7"), "event_id", "event_type", "user_id").select("event_id", "event_type", "segment")
 
@@ -723,14 +723,14 @@ def shard(spark, read):
     return read("events").where(F.col("event_id") % 4 == 1).select("event_id")
 
 
-@query("SELECT round(coalesce(sum(CASE WHEN l_returnflag = 'A' THEN 0 END), 0), 2) + 0.0 AS control_hits, round(sum(l_quantity) FILTER (l_returnflag <> 'A'), 2) + 0.0 AS candidate_hits, 0::BIGINT AS errors, min(l_tax) AS least_free, true AS passed FROM lineitem")
+@query("SELECT round(coalesce(sum(CASE WHEN l_returnflag = 'A' THEN 0 END), 0)::DOUBLE, 2) + 0.0::DOUBLE AS control_hits, round(sum(l_quantity) FILTER (l_returnflag <> 'A'), 2) + 0.0 AS candidate_hits, 0::BIGINT AS errors, min(l_tax) AS least_free, true AS passed FROM lineitem")
 def evidence_gate(spark, read):
     control = F.col("l_returnflag") == "A"
     rows = read("lineitem").select(F.when(control, "control").otherwise("candidate").alias("variant"), F.when(control, 0.0).otherwise(F.col("l_quantity")).alias("hits"), F.lit(0).alias("errors"), F.col("l_tax").alias("free"))
     return stats.evidence_gate(rows, "variant", "hits", "errors", "free", 0.0).withColumns({"control_hits": _r("control_hits", 2), "candidate_hits": _r("candidate_hits", 2)})
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS count, sum(l_quantity::BIGINT) AS ns, round(count(*) * 1e9 / sum(l_quantity::BIGINT), 3) + 0.0 AS per_second FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS count, sum(l_quantity::BIGINT)::BIGINT AS ns, round(count(*) * 1e9 / sum(l_quantity::BIGINT), 3) + 0.0 AS per_second FROM lineitem GROUP BY ALL")
 def throughput(spark, read):
     rows = read("lineitem").select("l_returnflag", "l_linestatus", F.lit(1).alias("one"), F.col("l_quantity").cast("long").alias("q"))
     return stats.throughput(rows, "one", "q", "l_returnflag", "l_linestatus").withColumn("per_second", _r("per_second", 3))
@@ -747,7 +747,7 @@ def property_summary(spark, read):
     return stats.properties(rows, "props", "event_type")
 
 
-@query("SELECT p_partkey, round(0.25 - 0.25 * (p_size * 16) / 1920 + 0.5 * (p_size / 7.0) , 9) + 0.0 AS shift, round(p_size * 16 * 0.5, 9) + 0.0 AS active FROM part")
+@query("SELECT p_partkey, round((0.25 - 0.25 * (p_size * 16) / 1920 + 0.5 * (p_size / 7.0))::DOUBLE, 9) + 0.0 AS shift, round((p_size * 16 * 0.5)::DOUBLE, 9) + 0.0 AS active FROM part")
 def chroma_geometry(spark, read):
     """Window of a half-width chroma plane for a luma window of p_size * 16 samples at p_size / 7."""
     wide = F.col("p_size") * 16
