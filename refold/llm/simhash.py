@@ -364,12 +364,112 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: Texts whose shingles are counted to tell common shingles, and the most of these that are kept.
+SAMPLE, COMMON = 4096, 1 << 20
+#: Texts that take part in a check are first sifted by a hash of their row, to so many values.
+SIEVE = 1 << 20
+SHARED = "sh long, at long, row long, root long"
+
+
+def _overlap(sizes: np.ndarray) -> np.ndarray:
+    """Shingles that two sets of so many in all must share to be similar (with some room for rounding)."""
+    return SIMILARITY / (1 + SIMILARITY) * sizes - 1e-6
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's shingles, rare ones first; of similar sets these always share one."""
+    names, counts = common
+    k = np.minimum(np.searchsorted(names, shingles), max(len(names) - 1, 0))
+    often = np.where(names[k] == shingles, counts[k], 0) if len(names) else np.zeros(len(shingles), np.int64)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, often))][: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text"):
+        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+        if sets:
+            sh, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.record_batch([pa.array(sh.view(np.int64)), pa.array(n)], names=["sh", "n"])
+
+
+def _common(texts: DataFrame):
+    """Broadcast (shingles, counts) of shingles that several texts of a sample hold. It sets an order only:
+    which texts are found doesn't hang on it."""
+    every = max(1, texts.count() // SAMPLE)
+    seen = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_counted, "sh long, n long")
+    top = seen.groupBy("sh").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "sh").limit(COMMON).toArrow()
+    sh, n = (top.column(c).to_numpy() for c in ("sh", "n"))
+    order = np.argsort(sh.view(np.uint64))
+    return texts.sparkSession.sparkContext.broadcast((sh.view(np.uint64)[order], n[order]))
+
+
+def _prefixes(common):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            if not sets:
+                continue
+            own = [prefix(s, common.value) for s in sets]
+            n = np.array([len(x) for x in own])
+            at = (np.repeat([len(s) for s in sets], n) << 32) + np.concatenate([np.arange(k) for k in n])
+            rows = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("row", "root")]
+            yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64)), pa.array(at), *rows], names=["sh", "at", "row", "root"])
+
+    return make
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SHARED, sorted by shingle and size, to pairs (a, b) of different roots that may be similar.
+    Of a shingle's rows those that are large enough for the next one are held, and so many pairs at once."""
+    held = [np.zeros(0, np.int64)] * 4
+    for b in batches:
+        if not b.num_rows:
+            continue
+        old = len(held[0])
+        sh, at, row, root = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("sh", "at", "row", "root"), strict=True))
+        size, place = at >> 32, at & 0xFFFFFFFF
+        new = np.append(True, sh[1:] != sh[:-1])
+        group = np.cumsum(new) << 32
+        least = np.searchsorted(group + size, group + np.ceil(SIMILARITY * size - 1e-6).astype(np.int64))
+        # what stands directly before a row and has its root is connected to it already
+        run = np.maximum.accumulate(np.where(new | np.append(True, root[1:] != root[:-1]), np.arange(len(sh)), 0))
+        pairs = np.maximum(run - least, 0)
+        pairs[:old] = 0
+        for x, y in _chunks(pairs):
+            j = np.repeat(np.arange(x, y), pairs[x:y])
+            i = least[j] + np.arange(len(j)) - np.repeat(np.cumsum(pairs[x:y]) - pairs[x:y], pairs[x:y])
+            ok = (root[i] != root[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _overlap(size[i] + size[j]))
+            if ok.any():
+                i, j = row[i[ok]], row[j[ok]]
+                yield pa.record_batch([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["a", "b"])
+        held = [v[least[-1] :] for v in (sh, at, row, root)]
+
+
+def sharing(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows that share a shingle of their prefixes, can be similar by size and place, and
+    have different roots (row, root); rows without a root are left out."""
+    rows = texts.hint("merge").join(roots, "row").select("row", "root", "text")
+    dealt = rows.mapInArrow(_prefixes(_common(texts)), SHARED).repartition("sh").sortWithinPartitions("sh", "at")
+    return dealt.mapInArrow(_meeting, "a long, b long").distinct()
+
+
+def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are similar."""
+    sifted = lambda x: F.pmod(F.xxhash64(x), F.lit(SIEVE)).alias("sieve")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(sifted("row")).distinct()  # at most SIEVE rows
+    some = texts.withColumn("sieve", sifted("row")).join(F.broadcast(ends), "sieve", "left_semi")
+    side = lambda x: some.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long")
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, with docs' own columns.
 
-    Candidates are links of the index over several fingerprints of each text (telling). A candidate counts
-    if its texts' five-word shingles have a similarity of SIMILARITY or more. Texts with the same words are
-    one from the start. Of rows that repeat the smallest doc_id one stays; rows without doc_id stay only if
+    A pair counts if its texts' five-word shingles have a similarity of SIMILARITY or more, and every such
+    pair is connected. Texts with the same words are one from the start. Links of the index over several
+    fingerprints of each text (telling) connect most groups cheaply; then all pairs between different groups
+    whose prefixes share a shingle (sharing) are checked, and no similar pair is without one. Of rows that repeat the smallest doc_id one stays; rows without doc_id stay only if
     their group has no other.
     """
     small_batches(docs.sparkSession)
@@ -387,9 +487,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     across = links(by).join(reps("a"), ["kind", "a"]).join(reps("b"), ["kind", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     found = inside.unionByName(across).where("a <> b")
     pairs = settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
-    checked = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "checked")
-    named = one.join(components(checked).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    checked = settle(check(pairs, texts), "checked")
+    rooted = lambda found: one.join(components(found).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    roots = settle(rooted(checked).select("row", "root"), "roots")
+    rest = settle(check(settle(sharing(texts, roots), "candidates"), texts), "checked")
+    named = rooted(checked.unionByName(rest))
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
     # by shuffle at every size: the chosen rows grow with the documents
     return base.join(settle(chosen, "chosen").hint("merge"), mark, "left_semi").select(*docs.columns)

@@ -473,6 +473,43 @@ def test_survivors(spark):
     assert simhash.survivors(df.where("false")).count() == 0
 
 
+def test_survivors_on_one_boilerplate(spark):
+    """Near copies whose long words are all those of one boilerplate stand in the middle of its buckets."""
+    r = random.Random(12)
+    plate = "considerations notwithstanding responsibilities acknowledgements representations circumstances administration communications international"
+    texts = []
+    for _ in range(40):
+        w = [f"{r.choice('abcdefgh')}{r.randrange(1000)}" for _ in range(200)]
+        texts.append(f"{plate} {' '.join(w)}")
+        w[60] = w[140] = "other"
+        texts.append(f"{plate} {' '.join(w)}")
+    r.shuffle(texts)
+    df = documents(spark, texts)
+    groups = brute_groups(texts)
+    left = {x.doc_id for x in simhash.survivors(df).collect()}
+    assert len(set(groups)) == 40 and len(left) == 40
+
+
+def test_pairs_of_prefixes_are_all_similar_pairs(monkeypatch):
+    """Against all pairs, in batches of any size, whatever shingles count as common."""
+    r = random.Random(13)
+    monkeypatch.setattr(simhash, "FRONTIER", 50)
+    sets = []
+    for _ in range(25):
+        base = [r.randrange(1 << 60) for _ in range(r.randrange(1, 60))]
+        for _ in range(4):
+            sets.append(np.unique(np.array([x if r.random() > 0.06 else r.randrange(1 << 60) for x in base] + [7, 8, 9][: r.randrange(4)], np.uint64)))
+    roots = [k if k % 5 else 0 for k in range(len(sets))]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j] and simhash.similarity(sets[i], sets[j]) >= simhash.SIMILARITY}
+    for names in ([], [7, 9], sorted(int(x) for x in np.concatenate(sets[::3]))):
+        common_ = np.unique(np.array(names, np.uint64)), np.ones(len(set(names)), np.int64)
+        rows = sorted((int(h), len(s) << 32 | k, i, roots[i]) for i, s in enumerate(sets) for k, h in enumerate(simhash.prefix(s, common_)))
+        for step in (1, 37, len(rows)):
+            batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step], strict=True)], names=["sh", "at", "row", "root"]) for k in range(0, len(rows), step)]
+            got = {p for b in simhash._meeting(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+            assert want and want <= got
+
+
 def test_similarity_is_checked():
     a = "one two three four five six seven eight nine ten"
     assert simhash.similarity(simhash.shingle_set(a), simhash.shingle_set(a.upper())) == 1
