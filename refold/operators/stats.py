@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,18 +119,32 @@ def route(n: Column, hits: Column) -> Column:
 
 def bootstrap_median_ratio(pairs_: DataFrame, resamples: int, seed: int, *keys: str) -> DataFrame:
     """Median ratio and the 2.5 and 97.5 % percentiles of its bootstrap by resampled pairs. Each key's
-    generator is seeded by its place among the sorted ratios' keys, so a repeat gives the same numbers.
-    A key's pairs (measured runs, a few dozen) are worked on in one task."""
-
-    def draw(key, group: pd.DataFrame) -> pd.DataFrame:
-        ratios = sorted(group["ratio"].tolist())
-        rng = random.Random(f"{seed}:{key}")
-        medians = sorted(pd.Series(rng.choices(ratios, k=len(ratios))).median() for _ in range(resamples))
-        at = lambda p: pd.Series(medians).quantile(p)
-        return pd.DataFrame([[*key, len(ratios), pd.Series(ratios).median(), at(0.025), at(0.975)]], columns=[*keys, "n", "median", "lower", "upper"])
-
-    schema = ", ".join(f"{k} {pairs_.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs_.select(*keys, "ratio").groupBy(*keys).applyInPandas(draw, f"{schema}, n long, median double, lower double, upper double")
+    generator is seeded by the key, so a repeat gives the same numbers.
+    Which ranks are in the middle of a resample depends on the number of pairs only. They are drawn from
+    their distribution (order statistics of uniform numbers) and looked up among the ranked ratios, so no
+    task holds a key's pairs. Null ratios are left out."""
+    rows = pairs_.where("ratio IS NOT NULL").select(*keys, "ratio")
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median"))
+    draw = F.udf(lambda key, n: middle_ranks(random.Random(f"{seed}:{key}"), n, resamples), "array<array<bigint>>")
+    drawn = whole.select(*[F.col(k).alias(f"_{k}") for k in keys], F.posexplode(draw(F.to_json(F.struct(*keys)), "n")).alias("_draw", "_ranks"))
+    picks = drawn.withColumn("_rank", F.explode("_ranks")).drop("_ranks")
+    ranked = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("ratio")))
+    own = lambda: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    medians = ranked.join(picks, [F.col("_at") == F.col("_rank"), *own()]).groupBy(*[f"_{k}" for k in keys], "_draw").agg(F.avg("ratio").alias("m"))
+    at = lambda p: F.percentile("m", F.lit(p))
+    bounds = medians.groupBy(*[f"_{k}" for k in keys]).agg(at(0.025).alias("lower"), at(0.975).alias("upper"))
+    return whole.join(bounds, own()).select(*keys, "n", "median", "lower", "upper")
+
+
+def middle_ranks(rng: random.Random, n: int, resamples: int) -> list[list[int]]:
+    """Ranks (from 1) of the two middle values, twice the same for odd n, of each resample of n from n."""
+    out, k = [], (n + 1) // 2
+    for _ in range(resamples):
+        low = high = rng.betavariate(k, n - k + 1)
+        if n % 2 == 0:
+            high = low + (1 - low) * rng.betavariate(1, n - k)
+        out.append([min(n, int(n * x) + 1) for x in (low, high)])
+    return out
 
 
 def evidence_gate(runs: DataFrame, variant: str, hits: str, errors: str, free: str, least_free: float) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -66,6 +67,20 @@ def test_bootstrap_repeats(spark):
     assert one == two and one.lower <= one.median <= one.upper
 
 
+def test_bootstrap_takes_all_pairs(spark):
+    got = {r.c_mktsegment: r.n for r in catalogue.QUERIES["bootstrap_ci"](spark, SF).collect()}
+    assert got == {r.c_mktsegment: r.n for r in catalogue.QUERIES["regression_gate"](spark, SF).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_middle_ranks_are_those_of_resamples(n):
+    rng, draws = random.Random(4), 20_000
+    plain_ = [sorted(rng.choices(range(1, n + 1), k=n)) for _ in range(draws)]
+    for got, want in zip(zip(*stats.middle_ranks(rng, n, draws)), zip(*((s[(n - 1) // 2], s[n // 2]) for s in plain_))):
+        a, b = sorted(got), sorted(want)
+        assert abs(sum(a) - sum(b)) / draws < 0.02 * n and all(abs(a[int(p * draws)] - b[int(p * draws)]) <= 1 for p in (0.025, 0.5, 0.975))
+
+
 def test_evidence_and_gates(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"schema": "v1", "n": 3}))
     assert traces.evidence(spark, f"{tmp_path}/a.json", "schema string, n int", "v1").first().n == 3
