@@ -3,13 +3,14 @@
 Texts are compared as lower-case letters and digits with one blank for anything else. An
 alignment of part of an item with part of a document scores RATE for each item character, less 1 for
 each edit. A passage is reported where the best local alignment covers at least n = min(MIN, item)
-characters of the item; as its score is positive, it has at most RATE edits for each of them.
+characters of the item; as its score is positive, it has at most RATE edits for each of them. Where it
+covers fewer, every stretch of n item characters is tried: one with floor(RATE * n) edits is a passage.
 
 Filter. Such an alignment holds n characters of the item with at most e = floor(RATE * n) edits, so
 it shares at least n + 1 - Q * (e + 1) of its q-grams, on e + 1 neighbouring diagonals. Shared q-grams
 are counted in diagonal bands that overlap by half, each wide enough that some band holds them all;
 regions that reach the bound are kept, so the filter loses nothing. Verification. In each kept region the local
-alignment is found within the band; a run that matches a whole item needs no table.
+alignment is found within the band, or else the stretch with the fewest edits; a run that matches a whole item needs no table.
 
 Documents are scanned in a narrow map against an index of the items. Items are taken in blocks of at
 most BLOCK characters (in expectation; by hash), and each block's index is broadcast: its size is
@@ -138,8 +139,9 @@ class Index:
 def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, slack: int = SLACK) -> tuple | None:
     """The best local alignment on diagonals lo - slack..hi + slack (document place less item place):
     (item start, end, document start, end, edits). Score: GAIN for each item character, -COST for each
-    edit. Of equal scores the one that ends first in the item, then in the document."""
-    m = len(item)
+    edit. Of equal scores the one that ends first in the item, then in the document. If it covers fewer than
+    min(MIN, item) characters, a stretch of so many within the edits allowed goes before it."""
+    m, near = len(item), (lo, hi)
     for d in range(max(lo, 0), min(hi, len(doc) - m) + 1):  # a whole item without edits
         if doc[d] == item[0] and np.array_equal(doc[d : d + m], item):
             return 0, m, d, d + m, 0
@@ -168,9 +170,46 @@ def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, slack: int = SLAC
         return None
     value, p, k = where
     a, x = value >> 20 & 0xFFFFF, (value & 0xFFFFF) + lo
+    n = min(MIN, m)
+    if p + 1 - a < n and (found := stretch(item, doc, *near, n, n * GAIN // COST)):
+        return found
     return a, p + 1, x, p + lo + k + 1, (GAIN * (p + 1 - a) - best) // COST
 
 
+def stretch(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int, most: int) -> tuple | None:
+    """Of all stretches of n item characters the first with the fewest edits, if these are `most` at most,
+    on diagonals lo - most..hi + most: (item start, end, document start, end, edits)."""
+    run, seeds = n // (most + 1), []  # of most + 1 parts of a stretch one is without edits
+    for d in range(max(lo, -len(item)), min(hi, len(doc)) + 1):
+        a, b = max(0, -d), min(len(item), len(doc) - d)
+        if b - a >= run:
+            same = np.append(0, np.cumsum(item[a:b] == doc[a + d : b + d]))
+            clean = np.flatnonzero(same[run:] - same[:-run] == run)
+            seeds += [(d, a + int(k)) for k in (clean[0], clean[-1])] if len(clean) else []
+    if not seeds:
+        return None
+    lo, hi = min(d for d, _ in seeds) - most, max(d for d, _ in seeds) + most
+    from_, to = max(0, min(k for _, k in seeds) + run - n), min(len(item) - n, max(k for _, k in seeds))
+    cols, best = np.arange(hi - lo + 1), None
+    one = 1 << 20
+    for first in range(from_, to + 1, 1024):  # edits << 20 | first diagonal, a row for each stretch
+        starts = np.arange(first, min(first + 1024, to + 1))
+        cost = np.repeat(cols[None], len(starts), 0)
+        for p in range(n):
+            place = (starts + p + lo)[:, None] + cols
+            inside = (place >= 0) & (place < len(doc))
+            same = inside & (doc[np.clip(place, 0, len(doc) - 1)] == item[starts + p][:, None])
+            step = cost + np.where(same, 0, one)
+            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + one)
+            cost = np.minimum.accumulate(step - cols * one, axis=1) + cols * one
+        w, c = np.unravel_index(np.argmin(cost), cost.shape)
+        if cost[w, c] >> 20 <= most and (best is None or cost[w, c] >> 20 < best[4]):
+            a, value = int(starts[w]), int(cost[w, c])
+            x, y = a + lo + (value & one - 1), a + n + lo + int(c)
+            best = a, a + n, max(x, 0), min(y, len(doc)), value >> 20
+    return best
+
+
 # ---------------------------------------------------------------- over tables
 
 

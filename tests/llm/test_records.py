@@ -316,6 +316,20 @@ def test_the_filter_loses_nothing(spark):
         assert {p[0] for p in index.passages(text)} == want
 
 
+def test_excerpts_within_the_budget_are_found():
+    """48 characters with 3 edits, between others that are not the item's, count even if a clean part scores more."""
+    r, n = random.Random(6), decontamination.MIN
+    for _ in range(40):
+        item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+        a = r.randrange(len(item) - n)
+        w = list(item[a : a + n])
+        for k in r.sample(range(n), 3):
+            w[k] = r.choice("0123456789")
+        text = "1" * 20 + "".join(w) + "2" * 20
+        (found,) = decontamination.Index([(5, item)]).passages(text)
+        assert found[0] == 5 and found[6] <= 3 and found[4] - found[3] >= n
+
+
 def test_passages_and_clean(spark):
     item = "The quick brown fox jumps over the lazy dog while seven wizards brew strong tea, again and again."
     near = item.replace("wizards", "wizard").replace("brew", "brews").upper()
