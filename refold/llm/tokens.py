@@ -9,6 +9,7 @@ lays the ids out. The tests hold this against the library on whole texts.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -75,13 +76,14 @@ class _Memo(dict):
 
 class Encoder:
     """keeps_blanks: the vocabulary encodes white space (byte-level); else it drops it, and every
-    blank is a place to cut. No special tokens are added; their strings are ordinary text."""
+    blank is a place to cut. No special tokens are added; a text that holds the string of one goes to
+    the library whole, which gives it that token's id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        self.added = "|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values())
         self.top = tok.get_vocab_size() - 1
         self.keeps_blanks = bool(tok.encode(" ", add_special_tokens=False).ids)
         self.plain, self.spaced = _Memo(tok, ""), _Memo(tok, " ")
@@ -92,13 +94,10 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        alone = np.zeros(len(texts), bool)
-        if self.keeps_blanks:
-            # a blank belongs to the piece after it; texts with runs of white space go to the library whole
-            alone = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
-            cut = pc.replace_substring(pc.if_else(pa.array(alone), "", texts), "\n", " \n")
-        else:
-            cut = pc.replace_substring(texts, "\n", " ")
+        # a blank belongs to the piece after it where blanks count: runs of white space can't be cut there
+        whole = "|".join(x for x in (self.added, _RUN if self.keeps_blanks else "") if x)
+        alone = pc.match_substring_regex(texts, whole).to_numpy(zero_copy_only=False) if whole else np.zeros(len(texts), bool)
+        cut = pc.replace_substring(pc.if_else(pa.array(alone), "", texts), "\n", " \n" if self.keeps_blanks else " ")
         pieces = pc.split_pattern(cut, " ")
         first = pieces.offsets.to_numpy().astype(np.int64)
         first, last = first[:-1] - first[0], int(first[-1] - first[0])
@@ -111,9 +110,12 @@ class Encoder:
             known = [self.newline + next(lines) if w[:1] == "\n" else next(spaced) for w in words]
             heads = coded.dictionary.take(pa.array(place[first])).to_pylist()
             place[first] = len(known) + np.arange(len(first))
-            known += [self.plain._one(texts[k].as_py()) if alone[k] else own for k, own in enumerate(self.plain.of(heads))]
+            known += self.plain.of(heads)
         else:
             known = self.plain.of(words)
+        for k in np.flatnonzero(alone).tolist():  # its one piece is the empty one at first[k]
+            place[first[k]] = len(known)
+            known.append(self.plain._one(texts[k].as_py()))
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         table, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
         n = size[place]
