@@ -114,19 +114,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 _OP2 = rf"""
-WITH t AS (
-  SELECT conv_id, coalesce(turn, 0) // {chat.TURNS} AS part, turn, coalesce(role, '{chat.UNNAMED}') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text
-  FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, '{chat.UNNAMED}') AS role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tie FROM conversations),
+o AS (SELECT *, row_number() OVER w AS place, (coalesce(sum(length(role) + length(text) + 32) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {chat.SIZE})::BIGINT AS part
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tie)),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role NOT IN ('system')),
+later AS (SELECT DISTINCT conv_id, part FROM o WHERE part > 0),
+s AS (SELECT conv_id, part, place, role, text FROM o UNION ALL
+  SELECT o.conv_id, later.part, place, role, text FROM o JOIN later ON o.conv_id IS NOT DISTINCT FROM later.conv_id WHERE o.part = 0 AND role IN ('system')),
 x AS (
-  SELECT t.conv_id, part, participant, role = participant AS own,
-    row_number() OVER (PARTITION BY t.conv_id, part, participant ORDER BY turn NULLS FIRST, role, text) AS k,
-    CASE WHEN role = participant THEN '<|im_start|>assistant' WHEN role IN ('system') THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || role END || chr(10) AS head,
-    text || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  SELECT s.conv_id, part, participant, role = participant AS own, row_number() OVER (PARTITION BY s.conv_id, part, participant ORDER BY place) AS k,
+    CASE WHEN role = participant THEN '<|im_start|>assistant' WHEN role IN ('system') THEN '<|im_start|>system'
+      ELSE '<|im_start|>user name=' || replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<|', '<\|') END || chr(10) AS head,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS body
+  FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 y AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, participant ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM x)
-SELECT conv_id, part::BIGINT AS part, participant, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+SELECT conv_id, part, participant, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
   coalesce(string_agg((pos + length(head))::VARCHAR || ':' || (pos + length(head) + length(body) - 1)::VARCHAR, ',' ORDER BY k) FILTER (own), '') AS loss_spans
 FROM y GROUP BY conv_id, part, participant
 """
