@@ -1,20 +1,24 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
-Texts are compared as lower-case letters and digits with one blank for anything else. An
-alignment of part of an item with part of a document scores RATE for each item character, less 1 for
-each edit. A passage is reported where the best local alignment covers at least n = min(MIN, item)
-characters of the item; as its score is positive, it has at most RATE edits for each of them. Where it
-covers fewer, every stretch of n item characters is tried: one with floor(RATE * n) edits is a passage.
-
-Filter. Such an alignment holds n characters of the item with at most e = floor(RATE * n) edits, so
-it shares at least n + 1 - Q * (e + 1) of its q-grams, on e + 1 neighbouring diagonals. Shared q-grams
-are counted in diagonal bands that overlap by half, each wide enough that some band holds them all;
-regions that reach the bound are kept, so the filter loses nothing. Verification. In each kept region the local
-alignment is found within the band, or else the stretch with the fewest edits; a run that matches a whole item needs no table.
-
-Documents are scanned in a narrow map against an index of the items. Items are taken in blocks of at
-most BLOCK characters (in expectation; by hash), and each block's index is broadcast: its size is
-bounded by the parameter, whatever the number of items.
+Texts are compared as lower-case letters and digits with one blank for anything else. With
+n = min(MIN, item) and e = floor(RATE * n), a document holds a passage of an item where some stretch of n
+item characters aligns with at most e edits. What is reported there is the best local alignment (RATE for
+each item character, less 1 for each edit) if it covers n item characters or more, else the stretch with
+the fewest edits. The parts of the document before and after it are searched again, so every passage
+that overlaps no better one of its item is reported.
+
+Filter. Such a stretch shares at least n + 1 - Q * (e + 1) of its q-grams, on e + 1 neighbouring
+diagonals (e is less where that would be under 1: items of 13 to 15 characters must be there without
+edits). Shared q-grams are counted in diagonal bands that overlap by half, each wide enough that some
+band holds them all; regions that reach the bound are kept, so the filter loses nothing. Neighbouring
+bands make one region of at most SPAN diagonals. Verification. In each kept region the local alignment is
+found within the band, or else the stretch; a run that matches a whole item needs no table.
+
+Items over PIECE characters are looked up in pieces that overlap by MIN; a passage that runs through
+several gives a row for each. Documents are scanned in a narrow map against an index of the items, once for
+each block of at most BLOCK characters, whose index is broadcast: its size is bounded by the parameter,
+whatever the items. Shared q-grams of a text are held LIMIT at a time, by stretches of the text and, where
+one q-gram stands in very many items, by ranges of items.
 
 Edge cases: null and empty texts hold no passage; items with fewer than Q letters, digits and single
 blanks are too short to be evidence; repeated rows and items each give rows; an empty table on either
@@ -23,6 +27,7 @@ side gives none.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -34,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .tokens import slices
 
-Q, MIN, BLOCK = 8, 48, 16 << 20
+Q, MIN, BLOCK = 8, 48, 4 << 20
+#: Characters of an item looked up together; diagonals of a region; shared q-grams held at a time.
+PIECE, SPAN, LIMIT = 4096, 256, 1 << 21
 #: Edits for each character, as a fraction: GAIN / COST.
 GAIN, COST = 2, 25
 WIDTH, SLACK = 16, 32
@@ -45,13 +52,20 @@ _TABLE = 0x3000
 @functools.cache
 def _codes() -> np.ndarray:
     """Code point -> lower-case letter or digit, 0 for anything else."""
-    return np.array([ord(chr(c).lower()[0]) if chr(c).isalnum() else 0 for c in range(_TABLE)], np.uint32)
+    return np.array([_code(c) for c in range(_TABLE)], np.uint32)
+
+
+def _code(c: int) -> int:
+    return ord(chr(c).lower()[0]) if chr(c).isalnum() else 0
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(characters as compared, place of each in the text)."""
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    code = np.where(raw < _TABLE, _codes()[np.minimum(raw, _TABLE - 1)], raw)
+    code = _codes()[np.minimum(raw, _TABLE - 1)]
+    if (high := raw >= _TABLE).any():
+        seen, place = np.unique(raw[high], return_inverse=True)
+        code[high] = np.array([_code(c) for c in seen.tolist()], np.uint32)[place]
     word = code != 0
     keep = word.copy()
     keep[1:] |= word[:-1]  # the first of what stands between words
@@ -74,22 +88,23 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        kept = [(i, normal(t)[0]) for i, t in rows if t]
-        kept = [(i, c) for i, c in kept if len(c) >= Q]
-        self.ids, self.items = [i for i, _ in kept], [c for _, c in kept]
-        n = np.minimum(MIN, np.array([len(c) for c in self.items], np.int64).reshape(-1))
-        e = n * GAIN // COST
-        self.least, self.need, self.reach = n, n + 1 - Q * (e + 1), n + e - Q
+    """Q-grams of a block of item pieces (item_id, characters of the whole item, place in it, codes)."""
+
+    def __init__(self, pieces: list[tuple[int, int, int, np.ndarray]]):
+        self.ids, self.sizes, self.starts, self.items = ([p[k] for p in pieces] for k in range(4))
+        length = np.array([len(c) for c in self.items], np.int64).reshape(-1)
+        n = np.minimum(MIN, length)
+        e = np.minimum(n * GAIN // COST, n // Q - 1)
+        self.least, self.edits, self.need, self.reach = n, e, n + 1 - Q * (e + 1), n + e - Q
+        self.margin = int((length + e).max(initial=0))
         all_grams = [grams(c) for c in self.items]
-        flat = np.concatenate(all_grams) if kept else np.zeros(0, np.uint32)
+        flat = np.concatenate(all_grams) if pieces else np.zeros(0, np.uint32)
         order = np.argsort(flat, kind="stable")
-        self.gram, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
-        self.item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams])[order] if kept else flat.astype(np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in all_grams])[order] if kept else flat.astype(np.int64)
+        self.gram, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        item = np.repeat(np.arange(len(pieces)), [len(g) for g in all_grams])[order] if pieces else flat.astype(np.int64)
+        # postings by q-gram and item: the entries of a q-gram in a range of items lie together
+        self.posting = np.repeat(np.arange(len(self.gram)), count) * len(pieces) + item
+        self.place = (np.concatenate([np.arange(len(g)) for g in all_grams])[order] if pieces else flat).astype(np.int32)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[flat >> np.uint32(12)] = True
 
@@ -104,19 +119,73 @@ class Index:
         k = np.searchsorted(self.gram, h[i])
         ok = self.gram[np.minimum(k, len(self.gram) - 1)] == h[i]
         i, k = i[ok], k[ok]
-        if len(i) < self.need.min():
-            return
-        n = self.first[k + 1] - self.first[k]
-        entry = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        for item, lo, hi in self._regions(np.repeat(i, n), self.item[entry], self.place[entry]):
-            found = align(self.items[item], doc, lo, hi)
-            if found and found[1] - found[0] >= self.least[item]:
-                a, b, x, y, edits = found
-                yield (self.ids[item], int(at[x]), int(at[y - 1]) + 1, a, b, len(self.items[item]), edits)
-
-    def _regions(self, i: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for lo, hi, first, last in self._groups(i, k):
+            for item, a, b, x, y, edits in self._found(doc, i[lo:hi], k[lo:hi], first, last, taken):
+                yield (self.ids[item], int(at[x]), int(at[y - 1]) + 1, self.starts[item] + a, self.starts[item] + b, self.sizes[item], edits)
+
+    def _entries(self, k: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the postings of q-grams k in items first..last - 1 begin and how many they are."""
+        begin = np.searchsorted(self.posting, k * len(self.items) + first)
+        return begin, np.searchsorted(self.posting, k * len(self.items) + last) - begin
+
+    def _groups(self, i: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Ranges (of shared places, of items) with at most LIMIT postings each, or as few as a passage needs."""
+        todo = [(0, len(i), 0, len(self.items))]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if hi - lo < self.need[first:last].min():
+                continue
+            if self._entries(k[lo:hi], first, last)[1].sum() > LIMIT:
+                one = int(self.least[first] + self.edits[first])
+                for enough, margin in ((True, self.margin), (last - first == 1, one)):
+                    # cut in two that share a margin; each must be shorter than the whole
+                    middle = i[(lo + hi) // 2]
+                    cut, back = lo + np.searchsorted(i[lo:hi], middle + margin, "right"), lo + np.searchsorted(i[lo:hi], middle - margin)
+                    if enough and cut < hi and back > lo:
+                        todo += [(int(back), hi, first, last), (lo, int(cut), first, last)]
+                        break
+                else:
+                    if last - first == 1:
+                        yield lo, hi, first, last
+                    else:
+                        half = (first + last) // 2
+                        todo += [(lo, hi, half, last), (lo, hi, first, half)]
+                continue
+            yield lo, hi, first, last
+
+    def _found(self, doc: np.ndarray, i: np.ndarray, k: np.ndarray, first: int, last: int, taken: dict) -> Iterator[tuple]:
+        begin, n = self._entries(k, first, last)
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, place, i = self.posting[entry] - np.repeat(k, n) * len(self.items), self.place[entry], np.repeat(i, n)
+        diagonal = i - place
+        order = np.lexsort((diagonal, item))
+        item, i, diagonal = item[order], i[order], diagonal[order]
+        for it, lo, hi in self._regions(i, item, diagonal):
+            a, b = np.searchsorted(item, it), np.searchsorted(item, it, "right")
+            a, b = a + np.searchsorted(diagonal[a:b], lo), a + np.searchsorted(diagonal[a:b], hi, "right")
+            spots, codes, spans = np.sort(i[a:b]), self.items[it], taken.setdefault(it, [])
+            around = int(self.least[it] + self.edits[it])
+            todo = [(max(0, int(spots[0]) - around), min(len(doc), int(spots[-1]) + Q + around))]
+            for x, y in spans[max(0, bisect.bisect(spans, todo[0]) - 1) :]:  # what has been reported is left out
+                u, v = todo[-1]
+                if x >= v:
+                    break
+                if y > u:
+                    todo[-1:] = [(u, x), (y, v)]
+            while todo:
+                x, y = todo.pop()
+                if np.searchsorted(spots, y - Q, "right") - np.searchsorted(spots, x) < self.need[it]:
+                    continue
+                found = align(codes, doc, lo, hi, x, y, int(self.least[it]), int(self.edits[it]))
+                if found:
+                    bisect.insort(spans, (found[2], found[3]))
+                    todo += [(found[3], y), (x, found[2])]
+                    yield (it, *found)
+
+    def _regions(self, i: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, least and greatest diagonal) of regions with enough shared q-grams."""
-        diagonal, found = i - place, []
+        found = []
         for shift in (0, WIDTH // 2):  # two grids of bands, half a band apart
             band = (diagonal + shift) // WIDTH
             order = np.lexsort((i, band, item))
@@ -128,29 +197,31 @@ class Index:
             found.append(np.stack([o_item[ok], o_band[ok] * WIDTH - shift], 1))
         spans = np.unique(np.concatenate(found), axis=0)
         out: list[list[int]] = []
-        for it, d in spans.tolist():  # neighbouring bands of an item are one region
-            if out and out[-1][0] == it and d <= out[-1][2] + 1:
+        for it, d in spans.tolist():  # neighbouring bands of an item are one region, up to SPAN
+            if out and out[-1][0] == it and d <= out[-1][2] + 1 and d + WIDTH <= out[-1][1] + SPAN:
                 out[-1][2] = d + WIDTH - 1
             else:
                 out.append([it, d, d + WIDTH - 1])
         return [tuple(x) for x in out]
 
 
-def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, slack: int = SLACK) -> tuple | None:
-    """The best local alignment on diagonals lo - slack..hi + slack (document place less item place):
-    (item start, end, document start, end, edits). Score: GAIN for each item character, -COST for each
-    edit. Of equal scores the one that ends first in the item, then in the document. If it covers fewer than
-    min(MIN, item) characters, a stretch of so many within the edits allowed goes before it."""
+def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, first: int, last: int, n: int, most: int, slack: int = SLACK) -> tuple | None:
+    """A passage in doc[first:last] on diagonals lo - slack..hi + slack (document place less item place):
+    (item start, end, document start, end, edits). It is the best local alignment (GAIN for each item
+    character, -COST for each edit; of equal scores the one that ends first in the item, then in the
+    document) if that covers n item characters; else the stretch of n with the fewest edits, `most` at most."""
     m, near = len(item), (lo, hi)
-    for d in range(max(lo, 0), min(hi, len(doc) - m) + 1):  # a whole item without edits
+    for d in range(max(lo, first), min(hi, last - m) + 1):  # a whole item without edits
         if doc[d] == item[0] and np.array_equal(doc[d : d + m], item):
             return 0, m, d, d + m, 0
-    lo, hi = max(lo - slack, -m + 1), min(hi + slack, len(doc) - 1)
+    lo, hi = max(lo - slack, first - m + 1), min(hi + slack, last - 1)
     width = hi - lo + 1
     if width <= 0:
         return None
+    if max(m, width + m) >= 1 << 20:
+        raise ValueError("an item or a region is too long to align")
     pad = np.full(width + m, 0xFFFFFFFF, np.uint32)  # what lies outside matches nothing
-    a, b = max(0, lo), min(len(doc), lo + width + m)
+    a, b = max(first, lo), min(last, lo + width + m)
     pad[a - lo : b - lo] = doc[a:b]
     cols = np.arange(width)
     # score << 40 | item start << 20 | document start (relative to lo): one maximum carries all three
@@ -170,18 +241,19 @@ def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, slack: int = SLAC
         return None
     value, p, k = where
     a, x = value >> 20 & 0xFFFFF, (value & 0xFFFFF) + lo
-    n = min(MIN, m)
-    if p + 1 - a < n and (found := stretch(item, doc, *near, n, n * GAIN // COST)):
-        return found
-    return a, p + 1, x, p + lo + k + 1, (GAIN * (p + 1 - a) - best) // COST
+    edits = (GAIN * (p + 1 - a) - best) // COST
+    if p + 1 - a < n or m < MIN and edits > most:
+        return stretch(item, doc[:last], *near, first, n, most)
+    return a, p + 1, x, p + lo + k + 1, edits
 
 
-def stretch(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int, most: int) -> tuple | None:
+def stretch(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, first: int, n: int, most: int) -> tuple | None:
     """Of all stretches of n item characters the first with the fewest edits, if these are `most` at most,
-    on diagonals lo - most..hi + most: (item start, end, document start, end, edits)."""
+    in the document from `first` on and on diagonals lo - most..hi + most: (item start, end, document start,
+    end, edits)."""
     run, seeds = n // (most + 1), []  # of most + 1 parts of a stretch one is without edits
-    for d in range(max(lo, -len(item)), min(hi, len(doc)) + 1):
-        a, b = max(0, -d), min(len(item), len(doc) - d)
+    for d in range(max(lo, first - len(item)), min(hi, len(doc)) + 1):
+        a, b = max(0, first - d), min(len(item), len(doc) - d)
         if b - a >= run:
             same = np.append(0, np.cumsum(item[a:b] == doc[a + d : b + d]))
             clean = np.flatnonzero(same[run:] - same[:-run] == run)
@@ -192,12 +264,12 @@ def stretch(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int, most: i
     from_, to = max(0, min(k for _, k in seeds) + run - n), min(len(item) - n, max(k for _, k in seeds))
     cols, best = np.arange(hi - lo + 1), None
     one = 1 << 20
-    for first in range(from_, to + 1, 1024):  # edits << 20 | first diagonal, a row for each stretch
-        starts = np.arange(first, min(first + 1024, to + 1))
+    for some in range(from_, to + 1, 1024):  # edits << 20 | first diagonal, a row for each stretch
+        starts = np.arange(some, min(some + 1024, to + 1))
         cost = np.repeat(cols[None], len(starts), 0)
         for p in range(n):
             place = (starts + p + lo)[:, None] + cols
-            inside = (place >= 0) & (place < len(doc))
+            inside = (place >= first) & (place < len(doc))
             same = inside & (doc[np.clip(place, 0, len(doc) - 1)] == item[starts + p][:, None])
             step = cost + np.where(same, 0, one)
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + one)
@@ -206,21 +278,32 @@ def stretch(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int, most: i
         if cost[w, c] >> 20 <= most and (best is None or cost[w, c] >> 20 < best[4]):
             a, value = int(starts[w]), int(cost[w, c])
             x, y = a + lo + (value & one - 1), a + n + lo + int(c)
-            best = a, a + n, max(x, 0), min(y, len(doc)), value >> 20
+            best = a, a + n, max(x, first), min(y, len(doc)), value >> 20
     return best
 
 
 # ---------------------------------------------------------------- over tables
 
 
+def pieces_of(item_id: int, text: str | None) -> list[tuple[int, int, int, np.ndarray]]:
+    """An item as pieces of at most PIECE characters, each MIN characters into the one before."""
+    codes = normal(text)[0] if text else np.zeros(0, np.uint32)
+    n = len(codes)
+    return [(item_id, n, k, codes[k : k + PIECE]) for k in range(0, max(1, n - MIN), PIECE - MIN)] if n >= Q else []
+
+
 def blocks(items: DataFrame, limit: int = BLOCK) -> list:
-    """Broadcast indexes of the items (item_id, text), each of about `limit` characters at most."""
-    chosen = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = chosen.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    n = max(1, -(-total // limit))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    context = items.sparkSession.sparkContext
-    return [context.broadcast(Index([tuple(r) for r in chosen.where(part == k).orderBy("item_id", "text").collect()])) for k in range(n)]
+    """Broadcast indexes of the items (item_id, text), each of `limit` characters and one piece at most.
+    The driver reads the items a partition at a time."""
+    context, out, held, size = items.sparkSession.sparkContext, [], [], 0
+    for item_id, text in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        for piece in pieces_of(item_id, text):
+            held.append(piece)
+            size += len(piece[3])
+            if size >= limit:
+                out.append(context.broadcast(Index(held)))
+                held, size = [], 0
+    return [*out, context.broadcast(Index(held))] if held or not out else out
 
 
 def passages(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -342,24 +342,92 @@ def test_no_role_or_text_opens_a_turn():
 # ---------------------------------------------------------------- decontamination
 
 
-def full_alignment(item, doc):
-    return decontamination.align(item, doc, -len(item), len(doc), slack=len(item))
+def index_of(items):
+    return decontamination.Index([p for i, text in items for p in decontamination.pieces_of(i, text)])
+
+
+def distances(part, doc):
+    """Fewest edits from part to any stretch of doc that ends at each place (Sellers)."""
+    row = np.zeros(len(doc) + 1, np.int64)
+    for k, c in enumerate(part, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (doc != c))
+        new = np.append(k, step)
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row
+
+
+def edit_distance(a, b):
+    row = np.arange(len(b) + 1)
+    for k, c in enumerate(a, 1):
+        new = np.append(k, np.minimum(row[1:] + 1, row[:-1] + (b != c)))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def held(item, doc):
+    """Whether some stretch of n item characters is in doc within its edits, by trying all."""
+    n = min(decontamination.MIN, len(item))
+    e = min(n * decontamination.GAIN // decontamination.COST, n // decontamination.Q - 1)
+    return any(distances(item[k : k + n], doc).min() <= e for k in range(len(item) - n + 1))
+
+
+def check_passages(items, text):
+    """The items found are those that all stretches tell, and each passage has the edits that it says."""
+    codes = {i: decontamination.normal(t)[0] for i, t in items}
+    doc, at = decontamination.normal(text)
+    place = {int(x): k for k, x in enumerate(at)}
+    found = list(index_of(items).passages(text))
+    assert {p[0] for p in found} == {i for i, c in codes.items() if len(c) >= decontamination.Q and held(c, doc)}
+    for i, x, y, a, b, size, edits in found:
+        assert size == len(codes[i]) and b - a >= min(decontamination.MIN, size)
+        assert edit_distance(codes[i][a:b], doc[place[x] : place[y - 1] + 1]) == edits
+    return found
 
 
 def test_the_filter_loses_nothing(spark):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(5).collect()] + [(900, "seven wizards"), (901, "Ｆour tea pots x")]
     texts = [r.text for r in real(spark).orderBy("doc_id").limit(30).collect()]
-    index, r = decontamination.Index(items), random.Random(3)
-    for _ in range(60):
+    r = random.Random(3)
+    for _ in range(15):
         _, item = r.choice(items)
         w = list(item)
         for _ in range(int(len(w) * r.random() * 0.14)):
             w[r.randrange(len(w))] = r.choice("abcdefgh")
-        a, b = sorted(r.sample(range(len(w)), 2))
-        text = r.choice(texts)[:300] + " " + "".join(w[a:b]).upper() + "\n" + r.choice(texts)[:60]
-        doc, _ = decontamination.normal(text)
-        want = {i for i, c in zip(index.ids, index.items, strict=True) if (f := full_alignment(c, doc)) and f[1] - f[0] >= min(decontamination.MIN, len(c))}
-        assert {p[0] for p in index.passages(text)} == want
+        a, b = sorted(r.sample(range(len(w) + 1), 2))
+        check_passages(items, r.choice(texts)[:200] + " " + "".join(w[a:b]).upper() + "\n" + r.choice(texts)[:60])
+
+
+def test_every_passage_of_an_item_is_found():
+    r = random.Random(9)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    found = check_passages([(1, item)], f"1{item}2{item}3{item[50:130]}4{item}")
+    assert sorted(p[1:5] for p in found) == [(1, 201, 0, 200), (202, 402, 0, 200), (403, 483, 50, 130), (484, 684, 0, 200)]
+
+
+def test_long_and_repetitive_texts(monkeypatch):
+    r = random.Random(10)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    noise = "".join(r.choice("0123456789 ") for _ in range(1_200_000))
+    assert list(index_of([(1, item)]).passages(noise + "." + item)) == [(1, 1_200_001, 1_200_201, 0, 200, 200, 0)]
+    monkeypatch.setattr(decontamination, "LIMIT", 20_000)
+    again = "abc def ghi " * 80
+    found = check_passages([(1, item), (2, "abc def ghi " * 8), (3, "def ghi abc " * 7)], again + item + " " + again)
+    assert [p for p in found if p[0] == 1] == [(1, 960, 1160, 0, 200, 200, 0)]
+    for i in (2, 3):  # the repeats are covered, and no two passages of an item overlap
+        spans = sorted(p[1:3] for p in found if p[0] == i)
+        assert all(x[1] <= y[0] for x, y in itertools.pairwise(spans)) and sum(y - x for x, y in spans) > 1700
+
+
+def test_long_items_are_looked_up_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 150)
+    r = random.Random(11)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))
+    for a in range(0, 950, 37):  # any stretch lies in a piece
+        assert (4, 1, 49, a, a + 48, 1000, 0) in list(index_of([(4, item)]).passages("1" + item[a : a + 48] + "2"))
+    covered = set()
+    for p in index_of([(4, item)]).passages("1" + item + "2"):
+        covered |= set(range(p[1], p[2]))
+    assert covered == set(range(1, 1001))
 
 
 def test_excerpts_within_the_budget_are_found():
@@ -372,7 +440,7 @@ def test_excerpts_within_the_budget_are_found():
         for k in r.sample(range(n), 3):
             w[k] = r.choice("0123456789")
         text = "1" * 20 + "".join(w) + "2" * 20
-        (found,) = decontamination.Index([(5, item)]).passages(text)
+        (found,) = index_of([(5, item)]).passages(text)
         assert found[0] == 5 and found[6] <= 3 and found[4] - found[3] >= n
 
 
@@ -397,6 +465,7 @@ def test_blocks_of_items(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     parts = decontamination.blocks(items, 2000)
     assert len(parts) > 2 and sum(len(p.value.ids) for p in parts) == items.count()
+    assert all(sum(map(len, p.value.items)) < 2000 + decontamination.PIECE for p in parts)
     whole = sorted(map(tuple, queries.op6_decontamination(spark, SF).collect()))
     split = []
     for p in parts:
@@ -679,7 +748,7 @@ def test_pipeline(spark):
     groups = brute_groups([docs[d].text for d in left])
     assert {d for k, d in enumerate(left) if groups[k] == k} <= staying
     left = [d for d in left if d in staying]
-    index = decontamination.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    index = index_of([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     left = [d for d in left if not list(index.passages(docs[d].text))]
     texts = {r.doc_id: r.text for r in pii.redact(real(spark).where(F.col("doc_id").isin(left))).collect()}
     assert all(not base_spans(t) for t in texts.values())
