@@ -1,15 +1,15 @@
-"""License notices in documents, by winnowed fingerprints and banded alignment.
+"""License notices and license texts in documents, by winnowed fingerprints and banded alignment.
 
 Texts and templates are sequences of lower-case words of letters and digits. From each window of
-WINDOW neighbouring GRAM-word shingles the one with the least hash is a fingerprint, so any
-GRAM + WINDOW - 1 words that a document and a template share give both the same fingerprint. The
-templates' fingerprints form an inverted index; a document's fingerprints pick candidate
-(template, diagonal) pairs; a banded local alignment over words then measures how much of the template
-is there, and where. Words that no template has can't be part of a shared shingle: they rank behind
-all others, which leaves fingerprints of shared passages as they are.
+WINDOW neighbouring GRAM-word shingles of a template the one with the least hash is a fingerprint (of
+templates up to SHORT words every shingle is one). They form an inverted index. A document asks for all
+its shingles, so any GRAM + WINDOW - 1 words that it shares with a template give a hit. Hits on
+neighbouring diagonals are a candidate if they are at least a FEW of the template's fingerprints; a banded
+local alignment over words then measures how much of the template is there, and where. What comes before
+and after a notice is aligned again, so notices that follow each other are all found.
 
 Documents are scanned in a narrow map; the index holds the templates only, which are a parameter
-(MOST characters at most), and travels with the function.
+(MOST characters at most), and is broadcast.
 
 Edge cases: null and empty texts have none; repeated rows each give rows; a template with fewer than
 GRAM words is rejected; an empty table gives no rows.
@@ -17,7 +17,9 @@ GRAM words is rejected; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import pathlib
 import re
 from collections.abc import Iterator
 
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 from .tokens import slices
 
 GRAM, WINDOW, BAND, COVERAGE, MOST = 3, 3, 8, 0.8, 8 << 20
+#: Words up to which every shingle is a fingerprint; share of the fingerprints that makes a candidate; widest region.
+SHORT, FEW, SPAN = 24, 0.1, 256
+#: Whole license texts, a file each.
+TEXTS = pathlib.Path(__file__).parent / "license_texts"
 FOUND = "doc_id long, license_id string, span_start long, span_end long, coverage double, matched_words int, template_words int"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -59,11 +65,14 @@ class Index:
             raise ValueError(f"templates of fewer than {GRAM} words: {short}")
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for s in split for w in s}))}
         self.words = [np.array([self.vocabulary[w] for w in s]) for s in split]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.few, rows = [], []
         for t, w in enumerate(self.words):
             h = shingles(w)
-            for p in winnow(h):
-                self.postings.setdefault(int(h[p]), []).append((t, int(p)))
+            chosen = np.arange(len(h)) if len(w) <= SHORT else winnow(h)
+            self.few.append(max(1, int(FEW * len(chosen))) if len(w) > SHORT else 1)
+            rows += [(int(h[p]), t, int(p)) for p in chosen]
+        rows.sort()
+        self.hashes, self.template, self.place = (np.array([r[k] for r in rows], np.uint64 if k == 0 else np.int64) for k in range(3))
 
     def notices(self, text: str | None, coverage: float = COVERAGE) -> list[tuple]:
         """(name, start, end, coverage, matched words, template words), best first where they overlap."""
@@ -73,26 +82,43 @@ class Index:
         words = _WORD.findall(lower)
         w = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(-1)), np.int64, len(words))
         h = shingles(w)
-        if (h == _UNKNOWN).all():
+        known = np.flatnonzero(h != _UNKNOWN)
+        begin = np.searchsorted(self.hashes, h[known])
+        n = np.searchsorted(self.hashes, h[known], "right") - begin
+        if not n.sum():
             return []
-        near = sorted({(t, (int(p) - q) // BAND) for p in winnow(h) for t, q in self.postings.get(int(h[p]), ())})
-        if not near:
-            return []
-        at = [m.span() for m in _WORD.finditer(lower)]
-        found, last = [], None
-        for t, band in near:
-            if last and last[0] == t and band == last[1] + 1:
-                continue  # the neighbouring band has been covered by the one before
-            last = (t, band)
-            hit = align(self.words[t], w, band * BAND - BAND, band * BAND + 2 * BAND)
-            if hit and hit[2] >= coverage * len(self.words[t]):
-                found.append((self.names[t], at[hit[0]][0], at[hit[1] - 1][1], hit[2] / len(self.words[t]), hit[2], len(self.words[t])))
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        template, spot = self.template[entry], np.repeat(known, n)
+        diagonal = spot - self.place[entry]
+        order = np.lexsort((spot, diagonal, template))
+        found, at = [], None
+        for t, lo, hi, spots in self._regions(template[order], diagonal[order], spot[order]):
+            m, at = len(self.words[t]), at or [x.span() for x in _WORD.finditer(lower)]
+            todo = [(max(0, int(spots[0]) - m), min(len(w), int(spots[-1]) + GRAM + m))]
+            while todo:
+                x, y = todo.pop()
+                if np.searchsorted(spots, y - GRAM, "right") - np.searchsorted(spots, x) < self.few[t]:
+                    continue
+                hit = align(self.words[t], w, lo - BAND, hi + BAND, x, y)
+                if hit and hit[2] >= coverage * m:
+                    found.append((self.names[t], at[hit[0]][0], at[hit[1] - 1][1], hit[2] / m, hit[2], m))
+                    todo += [(x, hit[0]), (hit[1], y)]
         chosen: list[tuple] = []
         for f in sorted(set(found), key=lambda f: (-f[4], f[1], f[0])):
             if not any(f[1] < c[2] and f[2] > c[1] for c in chosen):
                 chosen.append(f)
         return sorted(chosen, key=lambda f: (f[1], f[0]))
 
+    def _regions(self, template: np.ndarray, diagonal: np.ndarray, spot: np.ndarray) -> Iterator[tuple]:
+        """(template, least and greatest diagonal, sorted places of its hits) where hits are near each other."""
+        edge = np.flatnonzero((np.diff(template) != 0) | (np.diff(diagonal) > 2 * BAND)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(template)], strict=True):
+            while a < b:  # a run too wide is cut where SPAN ends; the bands of its parts overlap
+                z = a + int(np.searchsorted(diagonal[a:b], diagonal[a] + SPAN))
+                if z - a >= self.few[template[a]]:
+                    yield int(template[a]), int(diagonal[a]), int(diagonal[z - 1]), np.sort(spot[a:z])
+                a = z
+
 
 _UNKNOWN = np.iinfo(np.uint64).max
 
@@ -121,40 +147,54 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return place[h[place] != _UNKNOWN]
 
 
-def align(template: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[int, int, int] | None:
-    """(first word, end, matched words) of the best local alignment on diagonals lo..hi: a matched word
-    scores 2, one that is missing, added or replaced -1. Ties go to the alignment that ends first."""
-    m, width = len(template), hi - lo + 1
-    score, start, matched = ([[0] * (width + 2) for _ in range(2)] for _ in range(3))
-    best = None
-    for i in range(m):
-        old, new = i % 2, (i + 1) % 2
-        for c in range(1, width + 1):
-            j = i + lo + c - 1
-            if not 0 <= j < len(doc):
-                score[new][c] = 0
-                continue
-            same = template[i] == doc[j]
-            options = [(score[old][c] + (2 if same else -1), start[old][c] if score[old][c] > 0 else j, (matched[old][c] if score[old][c] > 0 else 0) + same)]
-            options.append((score[old][c + 1] - 1, start[old][c + 1], matched[old][c + 1]))
-            options.append((score[new][c - 1] - 1, start[new][c - 1], matched[new][c - 1]))
-            top = max(options, key=lambda o: o[0])
-            score[new][c], start[new][c], matched[new][c] = top if top[0] > 0 else (0, j + 1, 0)
-            if score[new][c] > (best[0] if best else 0):
-                best = (score[new][c], start[new][c], j + 1, int(matched[new][c]))
-        score[new][0] = score[new][width + 1] = 0
-    return best and (best[1], best[2], best[3])
+def align(template: np.ndarray, doc: np.ndarray, lo: int, hi: int, first: int, last: int) -> tuple[int, int, int] | None:
+    """(first word, end, matched words) of the best local alignment in doc[first:last] on diagonals lo..hi:
+    a matched word scores 2, one that is missing, added or replaced -1. Ties go to the one that ends first."""
+    m = len(template)
+    lo, hi = max(lo, first - m + 1), min(hi, last - 1)
+    width = hi - lo + 1
+    if width <= 0:
+        return None
+    pad = np.full(width + m, -2, np.int64)  # what lies outside matches nothing
+    a, b = max(first, lo), min(last, lo + width + m)
+    pad[a - lo : b - lo] = doc[a:b]
+    # score << 42 | first word (relative to lo) << 21 | matched words: one maximum carries all three
+    one, cols = 1 << 42, np.arange(width)
+    drift, low = cols * one, -(1 << 60)
+    row, best, where = np.full(width, low), 0, None
+    for p in range(m):
+        fresh = (p + cols) << 21
+        step = np.maximum(row, fresh) + np.where(pad[p : p + width] == template[p], 2 * one + 1, -one)
+        step = np.maximum(step, np.append(row[1:], low) - one)
+        row = np.maximum.accumulate(step + drift) - drift
+        k = int(np.argmax(row >> 42))
+        if row[k] >> 42 > best:
+            best, where = int(row[k] >> 42), (int(row[k]), p + lo + k + 1)
+    if where is None:
+        return None
+    value, end = where
+    return (value >> 21 & 0x1FFFFF) + lo, end, value & 0x1FFFFF
+
+
+def _read_texts(folder: pathlib.Path = TEXTS) -> dict[str, str]:
+    return {f.stem: f.read_text() for f in sorted(folder.glob("*.txt"))}
+
+
+@functools.cache
+def usual() -> dict[str, str]:
+    """The notices above and the whole texts in TEXTS."""
+    return TEMPLATES | _read_texts()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row of FOUND for each notice; spans are code points of the text, ends exclusive."""
-    index = Index(TEMPLATES if templates is None else templates)
+    index = docs.sparkSession.sparkContext.broadcast(Index(usual() if templates is None else templates))
     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            rows = [(doc, *f) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in index.notices(text, coverage)]
+            rows = [(doc, *f) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in index.value.notices(text, coverage)]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

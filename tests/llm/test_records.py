@@ -727,6 +727,54 @@ def test_notices(spark):
         licenses.Index({"x": "two words"})
 
 
+def test_notices_that_follow_each_other():
+    index, mit = licenses.Index(licenses.usual()), licenses.TEMPLATES["MIT-notice"]
+    for n in (2, 10):
+        text = f"{mit}\n" * n
+        got = index.notices(text)
+        assert [(f[0], text[f[1] : f[2]]) for f in got] == [("MIT-notice", mit[:-1])] * n
+    for k in range(len(mit.split())):  # four of its five words
+        w = mit.split()
+        w[k] = "other"
+        found = index.notices("see: " + " ".join(w) + " here")
+        assert found == [] if k == 2 else [(f[0], f[4]) for f in found] == [("MIT-notice", 4)]
+
+
+def test_whole_license_texts():
+    """Whole texts with words changed, among other words: coverage and span are those of the words that are left."""
+    index, r = licenses.Index(licenses.usual()), random.Random(14)
+    for name in ("ISC", "BSD-3-Clause", "Apache-2.0"):
+        w = licenses._WORD.findall((licenses.TEXTS / f"{name}.txt").read_text())
+        for share in (0.0, 0.05, 0.12):
+            changed = {k for k in range(3, len(w) - 3) if r.random() < share}
+            body = " ".join("changed" if k in changed else x for k, x in enumerate(w))
+            (found,) = [f for f in index.notices(f"Some words. {body}\nmore of them") if f[0] == name]
+            assert abs(found[4] - (len(w) - len(changed))) <= 2 + len(w) // 100 and found[5] == len(w)
+            assert (found[1], found[2]) == (12, 12 + len(body))
+    assert index.notices("the words of the license and of the software " * 2000) == []
+
+
+def brute_alignment(template, doc):
+    """Best score of a local alignment, cell by cell."""
+    best, old = 0, [0] * (len(doc) + 1)
+    for x in template:
+        new = [0]
+        for j, y in enumerate(doc, 1):
+            new.append(max(0, old[j - 1] + (2 if x == y else -1), old[j] - 1, new[-1] - 1))
+        best, old = max(best, *new), new
+    return best
+
+
+def test_alignment_is_the_best_one():
+    r = random.Random(15)
+    for _ in range(300):
+        template, doc = (np.array([r.randrange(4) for _ in range(r.randrange(1, 14))]) for _ in range(2))
+        found, best = licenses.align(template, doc, -len(template), len(doc), 0, len(doc)), brute_alignment(template.tolist(), doc.tolist())
+        assert (found is None) == (best == 0)
+        if found:
+            assert brute_alignment(template.tolist(), doc[found[0] : found[1]].tolist()) == best and found[2] <= found[1] - found[0]
+
+
 def test_license_query_finds_every_line(spark):
     want = collections.Counter()
     for r in real(spark).collect():
