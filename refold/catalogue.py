@@ -307,15 +307,15 @@ def trim(spark, read):
     return _shown(clips.trim(_planes(read), 10, 59))
 
 
-@query(_frames_sql("SELECT r.range * 20 + f AS frame_no, 0 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, v FROM px, range(3) r WHERE f < 20"))
+@query(_frames_sql("SELECT r.range * (SELECT count(*) FROM embeddings) + f AS frame_no, 0 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, v FROM px, range(3) r"))
 def loop(spark, read):
-    return _shown(clips.loop(clips.trim(_planes(read), 0, 19), 3, 20))
+    return _shown(clips.loop(_planes(read), 3, read("embeddings").count()))
 
 
-@query(_frames_sql("SELECT CASE WHEN f BETWEEN 40 AND 49 THEN f - 40 ELSE f + 10 END AS frame_no, 0 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, v FROM px WHERE f BETWEEN 40 AND 49 OR f < 20"))
+@query(_frames_sql("SELECT CASE WHEN f >= 40 THEN f - 40 ELSE f + (SELECT count(*) FROM embeddings) - 40 END AS frame_no, 0 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, v FROM px"))
 def splice(spark, read):
-    clip = _planes(read)
-    return _shown(clips.splice([(clips.trim(clip, 40, 49), 10), (clips.trim(clip, 0, 19), 20)]))
+    clip, n = _planes(read), read("embeddings").count()
+    return _shown(clips.splice([(clips.trim(clip, 40, n - 1), n - 40), (clips.trim(clip, 0, 39), 40)]))
 
 
 @query(_frames_sql("SELECT f // 3 AS frame_no, f % 3 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, CASE WHEN f % 3 = 0 THEN v * 2 ELSE v END AS v FROM px"))
@@ -338,9 +338,9 @@ def blank_clip(spark, read):
     return _shown(clips.blank(spark, 4, 3, 5, 0.25))
 
 
-@query("SELECT event_id, event_type, (sum(change) OVER (ORDER BY event_id))::BIGINT AS segment FROM (SELECT event_id, event_type, user_id, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS change FROM (SELECT * FROM events WHERE user_id = 7))")
+@query("SELECT event_id, event_type, (sum(change) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS segment FROM (SELECT event_id, event_type, user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS change FROM events)")
 def run_segments(spark, read):
-    return clips.segments(read("events").where("user_id = 7"), "event_id", "event_type", "user_id").select("event_id", "event_type", "segment")
+    return clips.segments(read("events"), "event_id", "event_type", "user_id").select("event_id", "event_type", "segment")
 
 
 @query(_frames_sql("SELECT f AS frame_no, 0 AS plane, 8 AS width, 8 AS height, y * 8 + x + 1 AS k, (v * (label + 1))::FLOAT AS v FROM px JOIN embeddings ON f = vec_id"))

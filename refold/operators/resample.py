@@ -159,11 +159,16 @@ def _planes(h: Plan | None, v: Plan | None, stack: np.ndarray, codes) -> np.ndar
     double = bool(h and h.double or v and v.double)
     kind = np.float64 if double else np.float32
     x = codes.decode(stack, kind) if codes else stack.astype(kind)
-    step = solve.inverse_double if double else solve.inverse_single
+    if not double:
+        if h:
+            x = solve.inverse_single(h, x.reshape(-1, x.shape[2]), across=True).reshape(len(x), -1, h.request.destination_size)
+        if v:
+            x = np.stack([solve.inverse_single(v, p) for p in x])
+        return codes.encode(x) if codes else x
     for plan, along in ((h, 2), (v, 1)):
         if plan:
             lanes = np.moveaxis(x, along, 0)
-            x = np.moveaxis(step(plan, np.ascontiguousarray(lanes).reshape(lanes.shape[0], -1)).reshape(-1, *lanes.shape[1:]), 0, along)
+            x = np.moveaxis(solve.inverse_double(plan, np.ascontiguousarray(lanes).reshape(lanes.shape[0], -1)).reshape(-1, *lanes.shape[1:]), 0, along)
     return codes.encode(x) if codes else x
 
 

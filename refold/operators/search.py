@@ -59,12 +59,37 @@ def centred(height: Column, base_width: Column | int, base_height: int) -> dict[
     return {"out_height": out_h, "src_top": (out_h - height) / 2, "out_width": out_w.cast("int"), "src_left": (out_w - width) / 2, "src_height": height, "src_width": width}
 
 
-GETNATIVE = [Kernel("bilinear"), *[Kernel("bicubic", b=b, c=c) for b, c in ((0.0, 0.5), (1 / 3, 1 / 3), (0.0, 0.75), (1.0, 0.0), (0.0, 1.0))], Kernel("lanczos", 2), Kernel("lanczos", 3), Kernel("spline16"), Kernel("spline36"), Kernel("spline64")]
+def accumulated(start: float, stop: float, step: float) -> list[float]:
+    """start, start + step, ... below stop, each the sum so far (not start + k * step)."""
+    out, at = [], float(start)
+    while at < stop:
+        out.append(at)
+        at += step
+    return out
 
 
-def grid(tenth: int = 1) -> list[Kernel]:
-    """Bicubic kernels with b and c from 0 to 0.9."""
-    return [Kernel("bicubic", b=i * tenth / 10, c=j * tenth / 10) for i in range(10) for j in range(10)]
+# The published recipes, in their order.
+GETNATIVE = [
+    Kernel("bilinear"),
+    Kernel("bicubic", b=1 / 3, c=1 / 3),
+    Kernel("bicubic", b=0.0, c=0.5),
+    Kernel("bicubic", b=0.0, c=1.0),
+    Kernel("bicubic", b=1.0, c=0.0),
+    Kernel("bicubic", b=0.0, c=0.75),
+    Kernel("lanczos", 2),
+    Kernel("lanczos", 3),
+    Kernel("lanczos", 4),
+    Kernel("spline16"),
+    Kernel("spline36"),
+]
+GETNATIVE_V2 = [*GETNATIVE[:6], Kernel("spline16"), Kernel("spline36")]
+STRATIFIED = [GETNATIVE[k] for k in (0, 2, 7, 10)]
+
+
+def grid() -> list[Kernel]:
+    """Bilinear, then bicubic kernels with b and c from 0 to 0.9 in accumulated tenths, b the outer one."""
+    values = accumulated(0, 1, 0.1)[:10]
+    return [Kernel("bilinear"), *[Kernel("bicubic", b=b, c=c) for b in values for c in values]]
 
 
 @functools.lru_cache(64)

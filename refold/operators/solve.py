@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from refold.plans.planner import EPS, Plan
+from refold.plans.planner import EPS, SAFE, Plan
 
 
 #: Values of a block of rows that stay in a core's cache while they are summed.
@@ -35,7 +35,71 @@ def inverse(plan: Plan, y: np.ndarray) -> np.ndarray:
     return inverse_double(plan, y) if plan.double else inverse_single(plan, y)
 
 
-def inverse_single(plan: Plan, y: np.ndarray) -> np.ndarray:
+#: Samples of the axis that one matrix product solves.
+ROWS = 64
+
+
+def blocks(plan: Plan) -> list[tuple]:
+    """The single-precision recurrences in steps of ROWS samples: for samples a..b - 1 (a, b, first and
+    end of their sources, the products of the forward step with sources and with what is carried in, those of
+    the backward step). Triangles are inverted in double and narrowed once."""
+    if "blocks" not in plan.narrow:
+        plan.single()
+        f, n, hb, out = plan.factors, plan.factors.shape[1], plan.half_bandwidth, []
+        lower = lambda d, i: f[d, i - d] * f[0, i - d]
+        for a in range(0, n, ROWS):
+            b = min(n, a + ROWS)
+            used = plan.sources[a:b][plan.weights[a:b] != 0]
+            lo, hi = (int(used.min()), int(used.max()) + 1) if used.size else (0, 1)
+            matrix = np.zeros((b - a, hi - lo))
+            rows, slots = np.nonzero(plan.weights[a:b])
+            np.add.at(matrix, (rows, plan.sources[a:b][rows, slots] - lo), plan.weights[a:b][rows, slots])
+            down, up = np.diag(f[0, a:b] + EPS), np.eye(b - a)
+            before, after = np.zeros((b - a, min(hb, a))), np.zeros((b - a, min(hb, n - b)))
+            for d in range(1, hb + 1):
+                i = np.arange(max(a, d), b)
+                inside, outside = i[i - d >= a], i[i - d < a]
+                down[inside - a, inside - d - a] = lower(d, inside)
+                before[outside - a, outside - d - a + before.shape[1]] = lower(d, outside)
+                i = np.arange(a, min(b, n - d))
+                inside, outside = i[i + d < b], i[i + d >= b]
+                up[inside - a, inside + d - a] = f[d, inside]
+                after[outside - a, outside + d - b] = f[d, outside]
+            down, up = np.linalg.inv(down), np.linalg.inv(up)
+            out.append((a, b, lo, hi, *(m.astype(np.float32) for m in (down @ matrix, -down @ before, up, -up @ after))))
+        plan.narrow["blocks"] = out
+    return plan.narrow["blocks"]
+
+
+def inverse_single(plan: Plan, y: np.ndarray, across: bool = False) -> np.ndarray:
+    """Single precision, along the first axis, or across: along the second."""
+    if plan.rcond < SAFE:  # ill-conditioned and asked for all the same: sample by sample
+        return np.ascontiguousarray(_stepped(plan, np.ascontiguousarray(y.T)).T) if across else _stepped(plan, y)
+    y = np.asarray(y, np.float32)
+    n, steps = plan.factors.shape[1], blocks(plan)
+    x = np.empty((len(y), n) if across else (n, y.shape[1]), np.float32)
+    for a, b, lo, hi, own, carried, _, _ in steps:
+        k = carried.shape[1]
+        if across:
+            np.matmul(y[:, lo:hi], own.T, out=x[:, a:b])
+            if k:
+                x[:, a:b] += x[:, a - k : a] @ carried.T
+        else:
+            np.matmul(own, y[lo:hi], out=x[a:b])
+            if k:
+                x[a:b] += carried @ x[a - k : a]
+    for a, b, _, _, _, _, own, carried in reversed(steps):
+        k = carried.shape[1]
+        if across:
+            part = x[:, a:b] @ own.T
+            x[:, a:b] = part + x[:, b : b + k] @ carried.T if k else part
+        else:
+            part = own @ x[a:b]
+            x[a:b] = part + carried @ x[b : b + k] if k else part
+    return x
+
+
+def _stepped(plan: Plan, y: np.ndarray) -> np.ndarray:
     s, hb = plan.single(), plan.half_bandwidth
     x = _gather(plan.sources, s["weights"], np.asarray(y, np.float32))
     n, low, up, scale = len(x), s["low"], s["up"], s["inverse"]
