@@ -44,7 +44,8 @@ Q, MIN, BLOCK = 8, 48, 4 << 20
 PIECE, SPAN, LIMIT = 4096, 256, 1 << 21
 #: Edits for each character, as a fraction: GAIN / COST.
 GAIN, COST = 2, 25
-WIDTH, SLACK = 16, 32
+#: Diagonals of a band (half of it is more than the edits of a stretch); diagonals on either side for alignments.
+WIDTH, SLACK = 8, 32
 HITS = "doc_id long, item_id long, doc_start long, doc_end long, item_start int, item_end int, item_chars int, edits int"
 _TABLE = 0x3000
 
@@ -100,10 +101,10 @@ class Index:
         all_grams = [grams(c) for c in self.items]
         flat = np.concatenate(all_grams) if pieces else np.zeros(0, np.uint32)
         order = np.argsort(flat, kind="stable")
-        self.gram, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.gram, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         item = np.repeat(np.arange(len(pieces)), [len(g) for g in all_grams])[order] if pieces else flat.astype(np.int64)
         # postings by q-gram and item: the entries of a q-gram in a range of items lie together
-        self.posting = np.repeat(np.arange(len(self.gram)), count) * len(pieces) + item
+        self.posting = np.repeat(np.arange(len(self.gram)), self.count) * len(pieces) + item
         self.place = (np.concatenate([np.arange(len(g)) for g in all_grams])[order] if pieces else flat).astype(np.int32)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[flat >> np.uint32(12)] = True
@@ -126,6 +127,8 @@ class Index:
 
     def _entries(self, k: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the postings of q-grams k in items first..last - 1 begin and how many they are."""
+        if last - first == len(self.items):
+            return self.first[k], self.count[k]
         begin = np.searchsorted(self.posting, k * len(self.items) + first)
         return begin, np.searchsorted(self.posting, k * len(self.items) + last) - begin
 
@@ -158,7 +161,10 @@ class Index:
         begin, n = self._entries(k, first, last)
         entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, place, i = self.posting[entry] - np.repeat(k, n) * len(self.items), self.place[entry], np.repeat(i, n)
-        diagonal = i - place
+        enough = np.flatnonzero((np.bincount(item, minlength=len(self.items)) >= self.need)[item])
+        if not len(enough):
+            return
+        item, i, diagonal = item[enough], i[enough], i[enough] - place[enough]
         order = np.lexsort((diagonal, item))
         item, i, diagonal = item[order], i[order], diagonal[order]
         for it, lo, hi in self._regions(i, item, diagonal):
@@ -190,6 +196,8 @@ class Index:
             band = (diagonal + shift) // WIDTH
             order = np.lexsort((i, band, item))
             o_item, o_band, o_i = item[order], band[order], i[order]
+            once = np.append(True, (np.diff(o_item) != 0) | (np.diff(o_band) != 0) | (np.diff(o_i) != 0))
+            order, o_item, o_band, o_i = order[once], o_item[once], o_band[once], o_i[once]  # a place counts once
             last = np.arange(len(order)) + self.need[o_item] - 1
             inside = last < len(order)
             last = np.minimum(last, len(order) - 1)
@@ -207,17 +215,19 @@ class Index:
 
 def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, first: int, last: int, n: int, most: int, slack: int = SLACK) -> tuple | None:
     """A passage in doc[first:last] on diagonals lo - slack..hi + slack (document place less item place):
-    (item start, end, document start, end, edits). It is the best local alignment (GAIN for each item
-    character, -COST for each edit; of equal scores the one that ends first in the item, then in the
-    document) if that covers n item characters; else the stretch of n with the fewest edits, `most` at most."""
+    (item start, end, document start, end, edits), if there is a stretch of n item characters with `most`
+    edits. It is the best local alignment (GAIN for each item character, -COST for each edit; of equal scores
+    the one that ends first in the item, then in the document) if that covers n item characters; else the
+    stretch with the fewest edits."""
     m, near = len(item), (lo, hi)
     for d in range(max(lo, first), min(hi, last - m) + 1):  # a whole item without edits
         if doc[d] == item[0] and np.array_equal(doc[d : d + m], item):
             return 0, m, d, d + m, 0
+    least = stretch(item, doc[:last], *near, first, n, most)
+    if not least:
+        return None
     lo, hi = max(lo - slack, first - m + 1), min(hi + slack, last - 1)
     width = hi - lo + 1
-    if width <= 0:
-        return None
     if max(m, width + m) >= 1 << 20:
         raise ValueError("an item or a region is too long to align")
     pad = np.full(width + m, 0xFFFFFFFF, np.uint32)  # what lies outside matches nothing
@@ -237,13 +247,11 @@ def align(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, first: int, last:
         k = int(np.argmax(row >> 40))
         if row[k] >> 40 > best:
             best, where = int(row[k] >> 40), (int(row[k]), p, k)
-    if where is None or best <= 0:
-        return None
     value, p, k = where
     a, x = value >> 20 & 0xFFFFF, (value & 0xFFFFF) + lo
     edits = (GAIN * (p + 1 - a) - best) // COST
     if p + 1 - a < n or m < MIN and edits > most:
-        return stretch(item, doc[:last], *near, first, n, most)
+        return least
     return a, p + 1, x, p + lo + k + 1, edits
 
 
