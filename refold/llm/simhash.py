@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
@@ -369,6 +369,10 @@ SAMPLE, COMMON = 4096, 1 << 20
 #: Texts that take part in a check are first sifted by a hash of their row, to so many values.
 SIEVE = 1 << 20
 SHARED = "sh long, at long, row long, root long"
+#: Before all pairs are checked, groups of near copies are connected by pairs drawn in so many turns: of a
+#: row that a shingle would pair with MANY others, DRAWS are drawn for that shingle and PARTNERS kept in the first
+#: turn, twice as many in each next one, as fewer rows are left.
+TURNS, MANY, DRAWS, PARTNERS = 4, 16, 32, 8
 
 
 def _overlap(sizes: np.ndarray) -> np.ndarray:
@@ -419,16 +423,17 @@ def _prefixes(common):
     return make
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SHARED, sorted by shingle and size, to pairs (a, b) of different roots that may be similar.
-    Of a shingle's rows those that are large enough for the next one are held, and so many pairs at once."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of SHARED, sorted by shingle and size, as (sh, at, row, root, least, pairs, old): a row may be
+    similar to the `pairs` rows from `least` on; the first `old` rows have been seen before and have none.
+    Of a shingle's rows those that are large enough for the next one are held, those from least[-1] on."""
     held = [np.zeros(0, np.int64)] * 4
     for b in batches:
         if not b.num_rows:
             continue
         old = len(held[0])
         sh, at, row, root = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("sh", "at", "row", "root"), strict=True))
-        size, place = at >> 32, at & 0xFFFFFFFF
+        size = at >> 32
         new = np.append(True, sh[1:] != sh[:-1])
         group = np.cumsum(new) << 32
         least = np.searchsorted(group + size, group + np.ceil(SIMILARITY * size - 1e-6).astype(np.int64))
@@ -436,22 +441,89 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.maximum.accumulate(np.where(new | np.append(True, root[1:] != root[:-1]), np.arange(len(sh)), 0))
         pairs = np.maximum(run - least, 0)
         pairs[:old] = 0
+        yield sh, at, row, root, least, pairs, old
+        held = [v[least[-1] :] for v in (sh, at, row, root)]
+
+
+def _may(i: np.ndarray, j: np.ndarray, at: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Whether rows i and j have different roots and enough shingles from this one on to be similar."""
+    size, place = at >> 32, at & 0xFFFFFFFF
+    return (root[i] != root[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _overlap(size[i] + size[j]))
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of SHARED that take part in any pair, without their roots, once each."""
+    done = np.zeros(0, bool)
+    for sh, at, row, _, least, pairs, old in _windows(batches):
+        done = np.append(done, np.zeros(len(sh) - old, bool))
+        edge = np.zeros(len(sh) + 1, np.int64)
+        np.add.at(edge, least, pairs > 0)
+        np.add.at(edge, least + pairs, -(pairs > 0).astype(np.int64))
+        now = ((np.cumsum(edge[:-1]) > 0) | (pairs > 0)) & ~done
+        if now.any():
+            yield pa.record_batch([pa.array(v[now]) for v in (sh, at, row)], names=["sh", "at", "row"])
+        done = (done | now)[least[-1] :]
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of rows of SHARED that may be similar, so many at once."""
+    for _, at, row, root, least, pairs, _ in _windows(batches):
         for x, y in _chunks(pairs):
             j = np.repeat(np.arange(x, y), pairs[x:y])
             i = least[j] + np.arange(len(j)) - np.repeat(np.cumsum(pairs[x:y]) - pairs[x:y], pairs[x:y])
-            ok = (root[i] != root[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _overlap(size[i] + size[j]))
+            ok = _may(i, j, at, root)
             if ok.any():
                 i, j = row[i[ok]], row[j[ok]]
                 yield pa.record_batch([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["a", "b"])
-        held = [v[least[-1] :] for v in (sh, at, row, root)]
 
 
-def sharing(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows that share a shingle of their prefixes, can be similar by size and place, and
-    have different roots (row, root); rows without a root are left out."""
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A number drawn for each number, the same on every run."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn(turn: int):
+    """DRAWS << turn pairs (a, b), if their roots differ, for each row of SHARED that has MANY or more to be paired with."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sh, at, row, root, least, pairs, _ in _windows(batches):
+            draws = DRAWS << turn
+            j = np.repeat(np.flatnonzero(pairs >= MANY), draws)
+            nth = np.arange(len(j), dtype=np.uint64) % np.uint64(draws) + np.uint64(draws)
+            seed = _scattered(_scattered(row[j].view(np.uint64)) + nth) ^ sh[j].view(np.uint64)
+            i = least[j] + (_scattered(seed) % np.maximum(pairs[j], 1).astype(np.uint64)).astype(np.int64)
+            ok = _may(i, j, at, root)
+            if ok.any():
+                yield pa.record_batch([pa.array(row[j[ok]]), pa.array(row[i[ok]])], names=["a", "b"])
+
+    return draw
+
+
+def prefixes(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """sh, at, row: the shingles of the rows' prefixes that rows of another root share, and may be similar
+    to by size. Rows without a root are left out."""
     rows = texts.hint("merge").join(roots, "row").select("row", "root", "text")
-    dealt = rows.mapInArrow(_prefixes(_common(texts)), SHARED).repartition("sh").sortWithinPartitions("sh", "at")
-    return dealt.mapInArrow(_meeting, "a long, b long").distinct()
+    return _dealt(rows.mapInArrow(_prefixes(_common(texts)), SHARED)).mapInArrow(_partnered, "sh long, at long, row long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.select("sh", "at", "row", "root").repartition("sh").sortWithinPartitions("sh", "at")
+
+
+def sharing(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows that share a shingle of their prefixes, can be similar by size and place, and
+    have different roots (row, root)."""
+    return _dealt(rows.join(roots, "row")).mapInArrow(_meeting, "a long, b long").distinct()
+
+
+def drawn(rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Some of the pairs of sharing: of a row that could be paired with many, PARTNERS << turn."""
+    pairs = _dealt(rows.join(roots, "row")).mapInArrow(_drawn(turn), "a long, b long").distinct()
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b"))
+    few = pairs.withColumn("place", place).where(F.col("place") <= PARTNERS << turn)
+    return few.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -468,8 +540,9 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     A pair counts if its texts' five-word shingles have a similarity of SIMILARITY or more, and every such
     pair is connected. Texts with the same words are one from the start. Links of the index over several
-    fingerprints of each text (telling) connect most groups cheaply; then all pairs between different groups
-    whose prefixes share a shingle (sharing) are checked, and no similar pair is without one. Of rows that repeat the smallest doc_id one stays; rows without doc_id stay only if
+    fingerprints of each text (telling) connect most groups cheaply, and drawn pairs what is left of large
+    ones; then all pairs between different groups whose prefixes share a shingle (sharing) are checked, and no
+    similar pair is without one. Of rows that repeat the smallest doc_id one stays; rows without doc_id stay only if
     their group has no other.
     """
     small_batches(docs.sparkSession)
@@ -490,8 +563,17 @@ def survivors(docs: DataFrame) -> DataFrame:
     checked = settle(check(pairs, texts), "checked")
     rooted = lambda found: one.join(components(found).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     roots = settle(rooted(checked).select("row", "root"), "roots")
-    rest = settle(check(settle(sharing(texts, roots), "candidates"), texts), "checked")
-    named = rooted(checked.unionByName(rest))
+    rows = settle(prefixes(texts, roots), "prefixes")
+    tried = texts.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(TURNS):
+        some = settle(drawn(rows, roots, turn), "candidates")
+        new = settle(check(some, texts), "checked")
+        if new.isEmpty():
+            break
+        checked, tried = checked.unionByName(new), tried.unionByName(some)
+        roots = settle(rooted(checked).select("row", "root"), "roots")
+    left = sharing(rows, roots).join(tried, ["a", "b"], "left_anti")
+    named = rooted(checked.unionByName(settle(check(settle(left, "candidates"), texts), "checked")))
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(mark))
     # by shuffle at every size: the chosen rows grow with the documents
     return base.join(settle(chosen, "chosen").hint("merge"), mark, "left_semi").select(*docs.columns)

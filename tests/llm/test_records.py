@@ -635,8 +635,33 @@ def test_pairs_of_prefixes_are_all_similar_pairs(monkeypatch):
         rows = sorted((int(h), len(s) << 32 | k, i, roots[i]) for i, s in enumerate(sets) for k, h in enumerate(simhash.prefix(s, common_)))
         for step in (1, 37, len(rows)):
             batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step], strict=True)], names=["sh", "at", "row", "root"]) for k in range(0, len(rows), step)]
-            got = {p for b in simhash._meeting(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+            flat = lambda out: [p for b in out for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            got = set(flat(simhash._meeting(iter(batches))))
             assert want and want <= got
+            taking = flat(simhash._partnered(iter(batches)))
+            fewer = [(*x, roots[x[2]]) for x in taking]
+            assert len(set(taking)) == len(taking) and set(fewer) <= set(rows)
+            again = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*sorted(fewer), strict=True)], names=["sh", "at", "row", "root"])
+            assert set(flat(simhash._meeting(iter([again])))) == got
+            monkeypatch.setattr(simhash, "MANY", 2)
+            some = {(max(p), min(p)) for p in flat(simhash._drawn(0)(iter(batches)))}
+            assert some and some <= got
+
+
+def test_large_groups_are_connected_by_few_pairs(spark, monkeypatch):
+    """Copies that differ from their model, and more from each other: far fewer pairs than all are checked."""
+    r = random.Random(14)
+    model, texts = [f"{r.choice('abcdefgh')}{r.randrange(1000)}" for _ in range(220)], []
+    for _ in range(240):
+        w = list(model)
+        for _ in range(r.randrange(3, 7)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    checked, check = [], simhash.check
+    monkeypatch.setattr(simhash, "check", lambda pairs, t: checked.append(pairs.count()) or check(pairs, t))
+    left = simhash.survivors(documents(spark, texts)).count()
+    assert left == len(set(brute_groups(texts)))
+    assert sum(checked) < 240 * 60
 
 
 def test_similarity_is_checked():
