@@ -635,16 +635,101 @@ def digest_sha256(spark, read):
     return read("documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_partkey, list_concat([1469598103934665603::HUGEINT, (length(p_name) % 256)::HUGEINT, (length(p_name) // 256)::HUGEINT, 0, 0, 0, 0, 0, 0], list_transform(string_split(p_name, ''), lambda c: ord(c)::HUGEINT)) AS steps FROM part)
+SELECT p_partkey, printf('%016x', list_reduce(steps, lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) AS hash FROM b""")
 def stable_hashes(spark, read):
     return read("part").select("p_partkey", digests.stable_hash_hex("p_name").alias("hash"))
 
 
-@query()
+_ORDERED = "(CASE WHEN ({0}::FLOAT::BIT)::INTEGER < 0 THEN -(({0}::FLOAT::BIT)::INTEGER::BIGINT & 2147483647) ELSE ({0}::FLOAT::BIT)::INTEGER::BIGINT END)"
+_ULPS = f"abs({_ORDERED.format('l_discount')} - {_ORDERED.format('(l_discount * 3 / 3)')})"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_ULPS} AS ulps FROM lineitem")
 def ulp_distances(spark, read):
     return read("lineitem").select("l_orderkey", "l_linenumber", digests.ulps(F.col("l_discount").cast("float"), (F.col("l_discount") * 3 / 3).cast("float")).alias("ulps"))
 
 
+@query(f"SELECT l_returnflag, max({_ULPS.replace('* 3 / 3', '* 1.0000003')}) AS ulps FROM lineitem GROUP BY ALL")
+def greatest_ulps(spark, read):
+    rows = read("lineitem").withColumn("other", F.col("l_discount") * F.lit(1.0000003))
+    return stats.greatest_ulps(rows, "l_discount", "other", "l_returnflag")
+
+
+@query("""
+WITH b AS (SELECT vec_id, list_transform(embedding::FLOAT[], lambda x: printf('%08x', ((x::BIT)::INTEGER::BIGINT & 4294967295))) AS words FROM embeddings)
+SELECT vec_id, sha256(from_hex(array_to_string(list_transform(words, lambda w: w[7:8] || w[5:6] || w[3:4] || w[1:2]), ''))) AS digest FROM b""")
+def plane_digest(spark, read):
+    return clips.digest(read("embeddings"), "embedding", "vec_id")
+
+
+@query("SELECT a.vec_id, round(list_avg(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 9) + 0.0 AS mae, list_max(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) AS max_abs FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def double_differences(spark, read):
+    e = read("embeddings")
+    both = e.select("vec_id", F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+    return clips.differences(both, "x", "y", "vec_id").withColumn("mae", _r("mae", 9))
+
+
+# ---------------------------------------------------------------- errors, phases and sides
+
+
+@query("""
+WITH e AS (SELECT l_returnflag, l_extendedprice AS x, CASE l_linenumber WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE l_extendedprice * (1 + l_tax) END AS y FROM lineitem)
+SELECT l_returnflag, round(max(abs(x - y)) FILTER (isfinite(y)), 6) + 0.0 AS maximum, round(sum(abs(x - y)) FILTER (isfinite(y)) / count(*), 6) + 0.0 AS mean, count(*) FILTER (NOT isfinite(y)) AS non_finite FROM e GROUP BY ALL""")
+def error_stats(spark, read):
+    n = F.col("l_linenumber")
+    rows = read("lineitem").withColumn("y", F.when(n == 1, float("inf")).when(n == 2, float("nan")).otherwise(F.col("l_extendedprice") * (1 + F.col("l_tax"))))
+    return stats.error_stats(rows, "l_extendedprice", "y", "l_returnflag").withColumns({"maximum": _r("maximum"), "mean": _r("mean")})
+
+
+@query("SELECT event_type, max(abs(floor(value * 2.55)::BIGINT - floor(value)::BIGINT * 2)) AS codes FROM events GROUP BY ALL")
+def greatest_code_difference(spark, read):
+    rows = read("events").select("event_type", F.floor(F.col("value") * 2.55).alias("a"), (F.floor("value") * 2).alias("b"))
+    return stats.greatest_difference(rows, "a", "b", "event_type")
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS total, min(l_quantity::BIGINT) AS minimum, median(l_quantity::BIGINT) AS median, round(avg(l_quantity::BIGINT), 9) + 0.0 AS mean, max(l_quantity::BIGINT) AS maximum, sum(l_quantity::BIGINT) / 12 AS total_per_batch, sum(l_quantity::BIGINT) / 96 AS total_per_frame FROM lineitem GROUP BY ALL")
+def normalised_totals(spark, read):
+    rows = read("lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"))
+    return stats.normalised_totals(rows, "q", {"batch": 12, "frame": 96}, "l_returnflag").withColumn("mean", _r("mean", 9))
+
+
+_MEASURED = "WITH t AS (SELECT o_orderkey, unnest(['encode', 'solve', 'copy']) AS name, o_totalprice FROM orders) "
+
+
+@query(_MEASURED + "SELECT name, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM t WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")
+def measured_phases(spark, read):
+    names = ("encode", "solve", "copy")
+    rows = read("orders").select("o_orderkey", "o_totalprice", F.explode(F.array(*map(F.lit, names))).alias("name"))
+    own = stats.phases_of(rows, read("orders").where("o_orderstatus = 'F'"), "o_orderkey", "name", names)
+    return own.groupBy("name").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) = ['F', 'O'] AS same FROM orders GROUP BY ALL")
+def same_members(spark, read):
+    return stats.same_members(read("orders"), "o_orderstatus", ("F", "O"), "o_custkey")
+
+
+def _sides(read) -> DataFrame:
+    """Mean price and first order of the customers that have finished and open orders, by status."""
+    orders = read("orders").where(F.col("o_orderstatus").isin("F", "O"))
+    sides = orders.groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("price"), F.min("o_orderkey").alias("first"))
+    whole = sides.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("o_custkey")
+    return sides.join(whole, "o_custkey", "left_semi").join(read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+
+
+@query(_PAIRS + "SELECT c_mktsegment, round(median(control), 6) + 0.0 AS control, round(median(candidate), 6) + 0.0 AS candidate, round(median(control) / median(candidate), 6) + 0.0 AS speedup, count(*) AS n, round(median(control / candidate), 6) + 0.0 AS paired_median, round(mad(control / candidate), 6) + 0.0 AS paired_mad, round(quantile_disc(control / candidate, 0.95), 6) + 0.0 AS paired_p95, round(min(control / candidate), 6) + 0.0 AS paired_minimum, round(max(control / candidate), 6) + 0.0 AS paired_maximum FROM p JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def ab_summary(spark, read):
+    out = stats.ab_summary(_sides(read), "o_orderstatus", "F", "O", "price", "o_custkey", "c_mktsegment")
+    return out.withColumns({c: _r(c) for c in out.columns if c not in ("c_mktsegment", "n")})
+
+
+@query(_PAIRS + "SELECT stratum, count(*) AS n, round(median(ratio), 6) + 0.0 AS median FROM p JOIN (SELECT o_custkey, CASE WHEN arg_min(o_orderstatus, o_orderkey) = 'F' THEN 'C-A' ELSE 'A-C' END AS stratum FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL) USING (o_custkey) GROUP BY ALL")
+def order_strata(spark, read):
+    return stats.order_strata(_sides(read), "o_orderstatus", "F", "O", "price", "first", "o_custkey").withColumn("median", _r("median"))
+
+
 # ---------------------------------------------------------------- windows over time
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"

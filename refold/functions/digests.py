@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
@@ -25,6 +27,12 @@ def stable_hash_hex(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else f"{stable_hash(len(b := t.encode()).to_bytes(8, 'little') + b):016x}")
 
 
+@pandas_udf(T.StringType())
+def samples_sha256(samples: pd.Series) -> pd.Series:
+    """Hex SHA-256 of arrays of samples as little-endian single precision; null for null."""
+    return samples.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest())
+
+
 def ulp_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Representable single-precision numbers between a and b; the zeros are one."""
 

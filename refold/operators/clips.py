@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from refold.functions import digests
+
 PLANE = T.StructType(
     [
         T.StructField("clip_id", T.StringType()),
@@ -184,6 +186,12 @@ def compare(rows: DataFrame, x: str, y: str, threshold: float, mode: str = "keep
     )
 
 
+def differences(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """mae and max_abs of two sample columns, differences and sums in double precision."""
+    d = F.zip_with(x, y, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    return rows.select(*keys, F.try_divide(F.aggregate(d, F.lit(0.0), lambda acc, v: acc + v), F.size(d)).alias("mae"), F.array_max(d).alias("max_abs"))
+
+
 def segments(rows: DataFrame, order: str, value: str, *partition: str) -> DataFrame:
     """rows with `segment`: a new one begins where the value changes along the order."""
     w = Window.partitionBy(*partition).orderBy(order)
@@ -197,5 +205,5 @@ def frame_eval(clip: Clip, choices: DataFrame, key: str, apply) -> DataFrame:
 
 
 def digest(rows: DataFrame, samples: str, *keys: str) -> DataFrame:
-    """SHA-256 of each row's samples as text; equal samples, equal digests."""
-    return rows.select(*keys, F.sha2(F.array_join(F.transform(samples, lambda x: x.cast("string")), ","), 256).alias("digest"))
+    """SHA-256 of the bytes of each row's samples as little-endian single precision."""
+    return rows.select(*keys, digests.samples_sha256(F.col(samples).cast("array<float>")).alias("digest"))

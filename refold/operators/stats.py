@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refold.functions import digests
+
 
 def _key(keys: tuple[str, ...]) -> list[Column]:
     return [F.col(k) for k in keys]
@@ -28,6 +30,34 @@ def totals(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("minimum"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("maximum"))
 
 
+def normalised_totals(rows: DataFrame, value: str, counts: dict[str, int], *keys: str) -> DataFrame:
+    """totals, and the total per batch, frame or whatever `counts` counts (null for a count of 0)."""
+    return totals(rows, value, *keys).withColumns({f"total_per_{what}": F.try_divide("total", F.lit(n)) for what, n in counts.items()})
+
+
+def error_stats(rows: DataFrame, reference: str, candidate: str, *keys: str) -> DataFrame:
+    """maximum and mean of the absolute differences and non_finite, the number of candidates that are not
+    finite: these add no difference, but count in the mean's divisor. No row with both values: 0."""
+    c = F.col(candidate).cast("double")
+    finite = ~F.isnan(c) & (F.abs(c) < float("inf"))
+    error = F.when(finite, F.abs(F.col(reference).cast("double") - c))
+    n = F.count_if(c.isNotNull() & F.col(reference).isNotNull())
+    return rows.groupBy(*keys).agg(F.coalesce(F.max(error), F.lit(0.0)).alias("maximum"), F.coalesce(F.try_divide(F.sum(error), n), F.lit(0.0)).alias("mean"), F.count_if(~finite).alias("non_finite"))
+
+
+def greatest_difference(rows: DataFrame, reference: str, candidate: str, *keys: str) -> DataFrame:
+    """Greatest difference of two integer codes; 0 without any."""
+    apart = F.abs(F.col(reference).cast("long") - F.col(candidate).cast("long"))
+    return rows.groupBy(*keys).agg(F.coalesce(F.max(apart), F.lit(0)).alias("codes"))
+
+
+def greatest_ulps(rows: DataFrame, reference: str, candidate: str, *keys: str) -> DataFrame:
+    """Greatest distance in single-precision steps; 0 without any."""
+    both = rows.where(F.col(reference).isNotNull() & F.col(candidate).isNotNull())
+    steps = both.select(*keys, digests.ulps(F.col(reference).cast("float"), F.col(candidate).cast("float")).alias("ulps"))
+    return steps.groupBy(*keys).agg(F.coalesce(F.max("ulps"), F.lit(0)).alias("ulps"))
+
+
 def percentile(rows: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """Linear between order statistics."""
     return rows.groupBy(*keys).agg(F.percentile(value, p).alias("percentile"))
@@ -44,6 +74,43 @@ def pairs(rows: DataFrame, variant: str, control: str, candidate: str, value: st
     return wide.where(whole).select(*keys, "control", "candidate", F.try_divide("candidate", "control").alias("ratio"))
 
 
+def ab_summary(samples: DataFrame, variant: str, control: str, candidate: str, value: str, sample: str, *keys: str) -> DataFrame:
+    """For each key the ratio of the variants' medians and the summary of the ratios sample by sample, both
+    control by candidate (over 1: the candidate takes less). A sample without one of each is an error."""
+    both = pairs(samples, variant, control, candidate, value, *keys, sample).withColumn("speedup", F.try_divide("control", "candidate"))
+    whole = both.groupBy(*keys).agg(F.median("control").alias("control"), F.median("candidate").alias("candidate"))
+    whole = whole.withColumn("speedup", F.try_divide("control", "candidate"))
+    paired = summarize(both, "speedup", *keys)
+    paired = paired.select(*keys, "n", *[F.col(c).alias(f"paired_{c}") for c in ("median", "mad", "p95", "minimum", "maximum")])
+    return whole.join(paired, list(keys))
+
+
+def order_strata(rows: DataFrame, variant: str, control: str, candidate: str, value: str, order: str, *keys: str) -> DataFrame:
+    """Number and median of the pairs' ratios by which side came first: C-A (the control) or A-C."""
+    first = rows.where(F.col(variant).isin(control, candidate)).groupBy(*keys).agg(F.min_by(variant, order).alias("first"))
+    both = pairs(rows, variant, control, candidate, value, *keys).join(first, list(keys))
+    return both.groupBy(F.when(F.col("first") == control, "C-A").otherwise("A-C").alias("stratum")).agg(F.count("ratio").alias("n"), F.median("ratio").alias("median"))
+
+
+def phases_of(rows: DataFrame, batches: DataFrame, key: str, name: str, names: tuple[str, ...]) -> DataFrame:
+    """The rows of the batches' keys. Unless the keys of batches are distinct and each of the names has as many
+    rows as there are batches, reading it is an error. The counts are one row, which is joined as such."""
+    own = rows.join(batches.select(key), key, "left_semi")
+    n = batches.agg(F.count(F.lit(1)).alias("__n"), F.count_distinct(key).alias("__keys"))
+    counts = own.agg(*[F.count_if(F.col(name) == x).alias(f"__{k}") for k, x in enumerate(names)]).crossJoin(F.broadcast(n))
+    alike = F.lit(True)
+    for c in ("__keys", *[f"__{k}" for k in range(len(names))]):
+        alike &= F.col(c) == F.col("__n")
+    return own.crossJoin(F.broadcast(counts.select(alike.alias("__alike")))).where(F.assert_true("__alike", F.lit("phases do not map one to one to batches")).isNull()).drop("__alike")
+
+
+def same_members(rows: DataFrame, member: str, expected: tuple, *keys: str) -> DataFrame:
+    """Whether the distinct members of each key are the expected ones: all of them and no other (null is one)."""
+    inside = F.coalesce(F.col(member).isin(*expected), F.lit(False))
+    found = F.count_distinct(F.when(inside, F.col(member)))
+    return rows.groupBy(*keys).agg(((found == len(set(expected))) & (F.count_if(~inside) == 0)).alias("same"))
+
+
 def slope(rows: DataFrame, y: str, x: str, *keys: str) -> DataFrame:
     """Least-squares slope of y on x, 0 for fewer than two rows."""
     return rows.groupBy(*keys).agg(F.when(F.count(y) < 2, 0.0).otherwise(F.regr_slope(y, x)).alias("slope"))

@@ -94,7 +94,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def tree_digest(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One SHA-256 over sorted paths and their contents' digests. Only digests are gathered."""
-    each = files.select(F.col(path).alias("p"), F.sha2(content, 256).alias("d"))
-    line = F.concat(F.octet_length("p").cast("string"), F.lit(":"), F.col("p"), F.col("d"))
-    return each.select(F.struct("p", line.alias("line")).alias("x")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n"), 256).alias("digest"))
+    """One SHA-256 over, by the paths' parts, each path's length (8 bytes, little-endian), the path and its
+    content's digest in bytes. Only paths and digests are gathered."""
+    p = F.encode(F.col(path), "utf-8")
+    size = F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(F.octet_length(p)), 16, "0"), F.lit("(..)"), 1)), "")
+    each = files.select(F.struct(F.split(F.col(path), "/").alias("parts"), F.concat(size, F.hex(p), F.sha2(F.col(content), 256)).alias("part")).alias("x"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"]), "")
+    return each.agg(F.sha2(F.unhex(whole), 256).alias("digest"))

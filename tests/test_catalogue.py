@@ -1,5 +1,6 @@
 """Every registered query runs, and equals its SQL where there is some."""
 
+import hashlib
 import json
 import math
 import os
@@ -54,6 +55,23 @@ def test_incomplete_pairs_fail(spark):
         stats.pairs(df, "v", "a", "b", "x", "k").collect()
 
 
+def test_phases_map_one_to_one(spark):
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "x")], "id int, name string")
+    batches = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    assert stats.phases_of(rows, batches(1, 2), "id", "name", ("x", "y")).count() == 4
+    for ids in ((1, 3), (1, 1)):
+        with pytest.raises(Exception, match="one to one"):
+            stats.phases_of(rows, batches(*ids), "id", "name", ("x", "y")).collect()
+
+
+def test_errors_of_nothing_and_of_what_is_not_finite(spark):
+    rows = spark.createDataFrame([(1.0, 3.0), (1.0, float("inf")), (2.0, float("nan")), (4.0, 4.0)], "a double, b double")
+    assert tuple(stats.error_stats(rows, "a", "b").first()) == (2.0, 0.5, 2)
+    assert tuple(stats.error_stats(rows.where("a > 9"), "a", "b").first()) == (0.0, 0.0, 0)
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (3, "a"), (3, "b"), (3, None)], "k int, v string")
+    assert {r.k: r.same for r in stats.same_members(members, "v", ("a", "b"), "k").collect()} == {1: True, 2: False, 3: False}
+
+
 def test_touching_intervals_are_one(spark):
     df = spark.createDataFrame([(0, 4), (4, 6), (8, 9), (8, 12), (20, 20)], "s long, e long")
     r = intervals.union_length(df, "s", "e").first()
@@ -118,6 +136,9 @@ def test_flat_csv_and_tree_digest(spark, tmp_path):
     df = spark.createDataFrame([(1, (2.0, "x"))], "a int, b struct<c: double, d: string>")
     traces.write_csv(df, f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == ["a", "b_c", "b_d"]
+    files = spark.createDataFrame([("a-b", bytearray(b"3")), ("a/b", bytearray(b"2"))], "path string, content binary")
+    parts = b"".join(len(p).to_bytes(8, "little") + p + hashlib.sha256(c).digest() for p, c in ((b"a/b", b"2"), (b"a-b", b"3")))
+    assert traces.tree_digest(files).first().digest == hashlib.sha256(parts).hexdigest()
     files = spark.createDataFrame([("b", bytearray(b"2")), ("a", bytearray(b"1"))], "path string, content binary")
     assert traces.tree_digest(files).first().digest == traces.tree_digest(files.orderBy("path")).first().digest != traces.tree_digest(files.where("path = 'a'")).first().digest
 
