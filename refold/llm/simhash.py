@@ -364,8 +364,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-#: Texts whose shingles are counted to tell common shingles, and the most of these that are kept.
-SAMPLE, COMMON = 4096, 1 << 20
+#: One in so many texts has its shingles counted to tell common shingles; the most of these that are kept.
+SAMPLE, COMMON = 8, 1 << 20
 #: Texts that take part in a check are first sifted by a hash of their row, to so many values.
 SIEVE = 1 << 20
 SHARED = "sh long, at long, row long, root long"
@@ -400,9 +400,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(texts: DataFrame):
     """Broadcast (shingles, counts) of shingles that several texts of a sample hold. It sets an order only:
     which texts are found doesn't hang on it."""
-    every = max(1, texts.count() // SAMPLE)
-    seen = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_counted, "sh long, n long")
-    top = seen.groupBy("sh").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "sh").limit(COMMON).toArrow()
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_counted, "sh long, n long")
+    counts = settle(some.groupBy("sh").agg(F.sum("n").alias("n")).where("n > 1"), "common")
+    held = F.least("n", F.lit(1 << 16)).alias("n")
+    # the least count from which on there are COMMON shingles at most
+    levels = sorted(((r.n, r.k) for r in counts.groupBy(held).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least = min([n for (n, _), total in zip(levels, np.cumsum([k for _, k in levels]), strict=True) if total <= COMMON], default=None)
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
     sh, n = (top.column(c).to_numpy() for c in ("sh", "n"))
     order = np.argsort(sh.view(np.uint64))
     return texts.sparkSession.sparkContext.broadcast((sh.view(np.uint64)[order], n[order]))
@@ -489,14 +493,16 @@ def _drawn(turn: int):
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sh, at, row, root, least, pairs, _ in _windows(batches):
-            draws = DRAWS << turn
-            j = np.repeat(np.flatnonzero(pairs >= MANY), draws)
-            nth = np.arange(len(j), dtype=np.uint64) % np.uint64(draws) + np.uint64(draws)
-            seed = _scattered(_scattered(row[j].view(np.uint64)) + nth) ^ sh[j].view(np.uint64)
-            i = least[j] + (_scattered(seed) % np.maximum(pairs[j], 1).astype(np.uint64)).astype(np.int64)
-            ok = _may(i, j, at, root)
-            if ok.any():
-                yield pa.record_batch([pa.array(row[j[ok]]), pa.array(row[i[ok]])], names=["a", "b"])
+            draws, rows = DRAWS << turn, np.flatnonzero(pairs >= MANY)
+            step = (1 << 16) // draws  # rows at once: 65,536 pairs
+            for x in range(0, len(rows), step):
+                j = np.repeat(rows[x : x + step], draws)
+                nth = np.arange(len(j), dtype=np.uint64) % np.uint64(draws) + np.uint64(draws)
+                seed = _scattered(_scattered(row[j].view(np.uint64)) + nth) ^ sh[j].view(np.uint64)
+                i = least[j] + (_scattered(seed) % pairs[j].astype(np.uint64)).astype(np.int64)
+                ok = _may(i, j, at, root)
+                if ok.any():
+                    yield pa.record_batch([pa.array(row[j[ok]]), pa.array(row[i[ok]])], names=["a", "b"])
 
     return draw
 
